@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, token_binary
 from .common import read
 
 
@@ -12,5 +12,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op10_mixing": op10_mixing}
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.token_binary(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_token_binary": op4_token_binary, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op10_mixing": mixing.SQL}
