@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_binary
+from . import decontaminate, mixing, token_binary, toxicity
 from .common import read
 
 
@@ -12,9 +12,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_binary(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_token_binary": op4_token_binary, "op10_mixing": op10_mixing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_binary": op4_token_binary, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op10_mixing": mixing.SQL}
