@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, token_binary, toxicity
+from . import decontaminate, mixing, near_dup, token_binary, toxicity
 from .common import read
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -25,5 +29,5 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_binary(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_binary": op4_token_binary, "op10_mixing": op10_mixing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_binary": op4_token_binary, "op9_near_dup": op9_near_dup, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op10_mixing": mixing.SQL}
