@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dup, token_binary, toxicity
+from . import decontaminate, license_scan, mixing, mpeg_audio, near_dup, token_binary, token_counts, toxicity
 from .common import read
 
 
+def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.audio_features(read(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -21,6 +29,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -29,5 +41,14 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_binary(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_decontaminate": op3_decontaminate, "op4_token_binary": op4_token_binary, "op9_near_dup": op9_near_dup, "op10_mixing": op10_mixing}
-ORACLE_SQL = {"op10_mixing": mixing.SQL}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_license_scan": op2_license_scan,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_token_binary": op4_token_binary,
+    "op5_mpeg_audio": op5_mpeg_audio,
+    "op6_token_counts": op6_token_counts,
+    "op9_near_dup": op9_near_dup,
+    "op10_mixing": op10_mixing,
+}
+ORACLE_SQL = {"op2_license_scan": license_scan.SQL, "op10_mixing": mixing.SQL}
