@@ -15,8 +15,8 @@ tables. A pair of similarity s shares a table with probability
    pivots, and every member of another component is compared with them on the
    full sets. Verified links join components. A table is finished once it lies in
    one component or all but one of its members have been pivots, so every
-   candidate pair is either compared or already joined; what a round makes is
-   linear in the tables' sizes. Tables still open after two rounds hold mostly
+   candidate pair is either compared or already joined; a member meets at most
+   ``WHOLE`` pivots of a table in a round, whatever the table's size. Tables still open after two rounds hold mostly
    unlike members (texts that share a common line); they are replaced by tables
    of their members' rarest shingles, which any similar pair shares.
 4. Components by alternating large-star and small-star steps.
@@ -131,23 +131,23 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(x, y) -> (node, component): the smallest node reachable. Only nodes with
     an edge, and other than their component, are listed."""
-    e = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct()
-    e = materialize(e, "cc")
-    seen = None
+    e = edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v")
+    last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "cc")
-        mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        discard(e)
-        e = now
-        if mark == seen or mark[0] == 0:
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "nd-components")
+        if last is not None:
+            discard(last)
+        last = e
+        # done when every node hangs on one root that hangs on nothing
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        loose = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).filter("ups > 1 OR (ups = 1 AND root = 0)")
+        if loose.isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = mark
 
 
 def _tables(reps: DataFrame) -> DataFrame:
@@ -187,45 +187,47 @@ def _prefix_tables(members: DataFrame, sets: DataFrame) -> DataFrame:
     return _once(ranked.filter((F.col("place") <= F.col("n") - need + 1) & (F.col("often") > 1)).select("rep", "n", "t"))
 
 
-#: Pivots of each round; the last number holds from there on. Before the round
-#: named next, tables still open are split by their members' rarest shingles.
-PIVOTS, SPLIT_AT = (1, 8, 8, 32), 2
+#: In the first round a table has one pivot. Later on, tables with up to WHOLE
+#: members that were none yet make pivots of all of them, larger tables of PICKS.
+WHOLE, PICKS = 24, 8
+#: Before this round, tables still open are split by their members' rarest shingles.
+SPLIT_AT = 2
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(node, component) of the classes that are not their component's smallest."""
     spark = docs.sparkSession
-    tables = _tables(reps)
+    tables = _tables(reps).withColumn("was", F.lit(False))
     sets = materialize(_sets(docs, tables.select(F.col("rep").alias("doc_id")).distinct()), "nd-sets")
     comps = spark.range(0).selectExpr("id AS node", "id AS component")
     tested = spark.range(0).selectExpr("id AS x", "id AS y")
-    nobody = spark.range(0).selectExpr("id AS t", "id AS rep")
-    used, turn = nobody, 0
+    turn = 0
     while True:
-        pivots = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        m = tables.join(comps, tables["rep"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-        m = m.join(used.withColumn("was", F.lit(True)), ["t", "rep"], "left").withColumn("was", F.coalesce("was", F.lit(False)))
+        m = tables.join(comps, tables["rep"] == comps["node"], "left").select("t", "rep", "n", "was", F.coalesce("component", "rep").alias("comp"))
+        picks = PICKS if turn else 1
         fresh = F.when(~F.col("was"), F.col("rep"))
-        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(pivots))
-        picks = [F.min(F.when(slot == p, fresh)).alias(f"p{p}") for p in range(pivots)]
-        state = m.groupBy("t").agg((F.min("comp") < F.max("comp")).alias("split"), F.count(fresh).alias("left"), *picks)
-        state = materialize(state.filter("split AND left > 1").select("t", F.array_compact(F.array(*[f"p{p}" for p in range(pivots)])).alias("pivots")), "nd-open")
+        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(picks))
+        some = F.array_compact(F.array(*[F.min(F.when(slot == p, fresh)) for p in range(picks)]))
+        state = m.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(fresh).alias("left"), some.alias("some"))
+        state = materialize(state.filter("low < high AND left > 1").select("t", F.when((F.col("left") > WHOLE) | F.lit(turn == 0), F.col("some")).alias("some")), "nd-open")
         if state.isEmpty():
             return comps
-        m = materialize(m.join(state.select("t"), "t", "left_semi"), "nd-split")
-        if turn == SPLIT_AT:
-            tables, used, turn = _prefix_tables(m, sets), nobody, turn + 1
+        # a member is a pivot of this round if it was picked, or all fresh members are
+        m = m.join(state, "t").withColumn("now", ~F.col("was") & F.coalesce(F.array_contains("some", F.col("rep")), F.lit(True))).drop("some")
+        m = materialize(m, "nd-split")
+        turn += 1
+        if turn == SPLIT_AT + 1:
+            tables = _prefix_tables(m, sets).withColumn("was", F.lit(False))
             continue
-        chosen = state.select("t", F.explode("pivots").alias("rep"))
-        y = m.join(chosen, ["t", "rep"]).select("t", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+        y = m.filter("now").select("t", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
         alike = 100 * F.least("n", "ny") >= PERCENT * F.greatest("n", "ny")
         pairs = m.join(y, "t").filter((F.col("comp") != F.col("cy")) & alike)
         pairs = pairs.select(F.greatest("rep", "y").alias("x"), F.least("rep", "y").alias("y")).distinct()
         pairs = materialize(pairs.join(tested, ["x", "y"], "left_anti"), "nd-pairs")
         found = materialize(_linked(pairs, sets), "nd-links")
-        tested, used = tested.unionByName(pairs), used.unionByName(chosen)
+        tested = tested.unionByName(pairs)
         comps = components(comps.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found))
-        tables, turn = m.select("t", "rep", "n"), turn + 1
+        tables = m.select("t", "rep", "n", (F.col("was") | F.col("now")).alias("was"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
