@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import materialize
 
 # fixed values: spellings that licence comparison treats as the same
 EQUIVALENT = [
@@ -109,28 +109,40 @@ CATALOGUE = [
 
 #: A line that is a copyright notice (with a sign, year or holder's bracket), or
 #: the rights reserved with it; a wrapped line that begins "copyright notice" is text.
-COPYRIGHT = r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT = r"^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)|©|all rights reserved)[^\n]*"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; empty for null."""
-    c = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "\n")
-    c = F.concat(F.lit(" "), F.regexp_replace(c, r"[^a-z0-9]+", " "), F.lit(" "))
+def _lines(text: Column) -> Column:
+    """The text's lines in canonical form, but for spellings of two words."""
+    c = F.regexp_replace(F.coalesce(text, F.lit("")), "(?idm)" + COPYRIGHT, "")
+    c = F.lower(F.regexp_replace(c, r"[^A-Za-z0-9\n]+", " "))  # ASCII by now
+    c = F.concat(F.lit(" "), F.replace(c, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for found, put in EQUIVALENT:
-        c = F.replace(c, F.lit(f" {found} "), F.lit(f" {put} "))
-    return F.trim(F.regexp_replace(c, " +", " "))
+        if " " not in found:
+            c = F.replace(c, F.lit(f" {found} "), F.lit(f" {put} "))
+    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form, null if that is empty."""
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+def _pairs(line: Column) -> Column:
+    """Unifies the spellings of two words."""
+    c = F.concat(F.lit(" "), line, F.lit(" "))
+    for found, put in EQUIVALENT:
+        if " " in found:
+            c = F.replace(c, F.lit(f" {found} "), F.lit(f" {put} "))
+    return F.trim(c)
+
+
+def digests(text: Column) -> tuple[Column, Column]:
+    """SHA-256 of the canonical whole text, null if that is empty, and of its
+    canonical lines that aren't empty."""
+    whole = F.sha2(_pairs(F.array_join(_lines(text), " ")), 256)
+    return F.nullif(whole, F.sha2(F.lit(""), 256)), F.transform(_lines(text), lambda x: F.sha2(_pairs(x), 256))
 
 
 def catalogue(spark, texts=tuple(CATALOGUE)) -> DataFrame:
     """license_id and digest of the known licences, one row a digest."""
     rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in texts])
-    known = spark.range(1).select(F.explode(rows).alias("r")).select("r.license_id", digest(F.col("r.text")).alias("digest"))
+    known = spark.range(1).select(F.explode(rows).alias("r")).select("r.license_id", digests(F.col("r.text"))[0].alias("digest"))
     return known.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -138,12 +150,11 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (of the whole text), n_license_lines and
     line_licenses (distinct, sorted, comma-joined) of every row."""
     known = catalogue(docs.sparkSession) if known is None else known
-    text = F.col("text").cast("string")
-    whole = docs.select("doc_id", digest(text).alias("digest")).join(known, "digest", "left")
-    lines = docs.select("doc_id", F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line"))
-    lines = lines.filter(F.col("line") != "").select("doc_id", digest(F.col("line")).alias("digest")).join(known, "digest")
-    found = lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("ids"))
-    out = whole.join(found.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    whole, lines = digests(F.col("text").cast("string"))
+    d = materialize(docs.select("doc_id", whole.alias("digest"), F.transform(lines, lambda x: F.unhex(x)).alias("lines")), "license-digests")
+    at_line = known.select(F.unhex("digest").alias("line"), F.col("license_id").alias("id"))
+    found = d.select("doc_id", F.explode("lines").alias("line")).join(at_line, "line").groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
+    out = d.join(known, "digest", "left").join(found.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     return out.select("doc_id", "digest", "license_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"), F.coalesce("ids", F.lit("")).alias("line_licenses"))
 
 
@@ -151,24 +162,32 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _sql_canonical(text: str) -> str:
-    c = f"regexp_replace(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_sql_text(COPYRIGHT)}, chr(10), 'g')"
-    c = f"' ' || regexp_replace({c}, '[^a-z0-9]+', ' ', 'g') || ' '"
+def _sql_lines(text: str) -> str:
+    c = f"regexp_replace(coalesce({text}, ''), {_sql_text('(?im)' + COPYRIGHT)}, '', 'g')"
+    c = f"lower(regexp_replace({c}, '[^A-Za-z0-9\\n]+', ' ', 'g'))"
+    c = f"' ' || replace({c}, chr(10), ' ' || chr(10) || ' ') || ' '"
+    for found, put in EQUIVALENT:
+        if " " not in found:
+            c = f"replace({c}, ' {found} ', ' {put} ')"
+    return f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _sql_pairs(line: str) -> str:
+    c = f"' ' || {line} || ' '"
     for found, put in EQUIVALENT:
-        c = f"replace({c}, ' {found} ', ' {put} ')"
-    return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
+        if " " in found:
+            c = f"replace({c}, ' {found} ', ' {put} ')"
+    return f"trim({c})"
 
 
 SQL = f"""
-WITH known AS (
-  SELECT sha256(c) AS digest, min(license_id) AS license_id
-  FROM (SELECT license_id, {_sql_canonical("text")} AS c FROM (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in CATALOGUE)}) v(license_id, text))
-  WHERE c <> '' GROUP BY 1),
-d AS (SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest FROM (SELECT doc_id, {_sql_canonical("text")} AS c FROM documents)),
-l AS (SELECT doc_id, {_sql_canonical("line")} AS c FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+WITH v(license_id, text) AS (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in CATALOGUE)}),
+known AS (SELECT sha256({_sql_pairs("array_to_string(l, ' ')")}) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {_sql_lines("text")} AS l FROM v) GROUP BY 1),
+d AS (SELECT doc_id, {_sql_lines("text")} AS l FROM documents),
+w AS (SELECT doc_id, nullif(sha256({_sql_pairs("array_to_string(l, ' ')")}), sha256('')) AS digest FROM d),
 f AS (
   SELECT doc_id, count(*) AS n, string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) AS ids
-  FROM (SELECT doc_id, sha256(c) AS digest FROM l WHERE c <> '') x JOIN known k USING (digest) GROUP BY doc_id)
-SELECT d.doc_id, d.digest, k.license_id, coalesce(f.n, 0)::BIGINT AS n_license_lines, coalesce(f.ids, '') AS line_licenses
-FROM d LEFT JOIN known k USING (digest) LEFT JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id
+  FROM (SELECT doc_id, sha256({_sql_pairs("line")}) AS digest FROM (SELECT doc_id, unnest(l) AS line FROM d)) x JOIN known k USING (digest) GROUP BY doc_id)
+SELECT w.doc_id, w.digest, k.license_id, coalesce(f.n, 0)::BIGINT AS n_license_lines, coalesce(f.ids, '') AS line_licenses
+FROM w LEFT JOIN known k USING (digest) LEFT JOIN f ON w.doc_id IS NOT DISTINCT FROM f.doc_id
 """

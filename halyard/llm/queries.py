@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, mixing, mpeg_audio, near_dup, token_binary, token_counts, toxicity
+from . import decontaminate, license_scan, mixing, mpeg_audio, near_dup, pii, token_binary, token_counts, toxicity
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op4_token_binary": op4_token_binary,
     "op5_mpeg_audio": op5_mpeg_audio,
     "op6_token_counts": op6_token_counts,
+    "op7_pii": op7_pii,
     "op9_near_dup": op9_near_dup,
     "op10_mixing": op10_mixing,
 }

@@ -13,7 +13,7 @@ def got(spark, rows):
 
 def test_variants_of_one_licence(spark):
     mit = "The MIT Licence (MIT)\n\nCopyright (c) 2019 Some One\nCopyright © 2020 Another\nAll rights reserved.\n\n" + ls._MIT.upper().replace("SUBLICENSE", "sub-licence").replace(",", " ; ")
-    rows = [(1, mit, "x"), (2, ls._MIT + " and more", "x"), (3, ls._ISC.replace(" ", "\n"), "x"), (4, "some words\nreleased  under the  mit LICENCE!\nmore", "x")]
+    rows = [(1, mit, "x"), (2, ls._MIT + " and more", "x"), (3, ls._ISC.replace(", ", ",\n").replace(" ", "\t "), "x"), (4, "some words\nreleased  under the  mit LICENCE!\nmore", "x")]
     out = got(spark, rows)
     assert [out[i]["license_id"] for i in (1, 2, 3, 4)] == ["MIT", None, "ISC", None]
     assert [out[i]["n_license_lines"] for i in (1, 2, 3, 4)] == [0, 0, 0, 1] and out[4]["line_licenses"] == "MIT"
