@@ -15,8 +15,9 @@ tables. A pair of similarity s shares a table with probability
    pivots, and every member of another component is compared with them on the
    full sets. Verified links join components. A table is finished once it lies in
    one component or all but one of its members have been pivots, so every
-   candidate pair is either compared or already joined; a member meets at most
-   ``WHOLE`` pivots of a table in a round, whatever the table's size. Tables still open after two rounds hold mostly
+   candidate pair is either compared or already joined; a member meets about
+   ``PICKS`` pivots of a table in a round (more in later rounds, which few tables
+   reach), whatever the table's size. Tables still open after two rounds hold mostly
    unlike members (texts that share a common line); they are replaced by tables
    of their members' rarest shingles, which any similar pair shares.
 4. Components by alternating large-star and small-star steps.
@@ -187,9 +188,10 @@ def _prefix_tables(members: DataFrame, sets: DataFrame) -> DataFrame:
     return _once(ranked.filter((F.col("place") <= F.col("n") - need + 1) & (F.col("often") > 1)).select("rep", "n", "t"))
 
 
-#: In the first round a table has one pivot. Later on, tables with up to WHOLE
-#: members that were none yet make pivots of all of them, larger tables of PICKS.
-WHOLE, PICKS = 24, 8
+#: In the first round a table has one pivot. In the second a table has up to PICKS
+#: or so, chosen by hash among members that were none yet, and GROWTH times as many
+#: each round after; tables with fewer members than that make pivots of all.
+PICKS, GROWTH = 24, 4
 #: Before this round, tables still open are split by their members' rarest shingles.
 SPLIT_AT = 2
 
@@ -201,24 +203,24 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     sets = materialize(_sets(docs, tables.select(F.col("rep").alias("doc_id")).distinct()), "nd-sets")
     comps = spark.range(0).selectExpr("id AS node", "id AS component")
     tested = spark.range(0).selectExpr("id AS x", "id AS y")
-    turn = 0
+    turn, picks = 0, PICKS
     while True:
         m = tables.join(comps, tables["rep"] == comps["node"], "left").select("t", "rep", "n", "was", F.coalesce("component", "rep").alias("comp"))
-        picks = PICKS if turn else 1
         fresh = F.when(~F.col("was"), F.col("rep"))
-        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(picks))
-        some = F.array_compact(F.array(*[F.min(F.when(slot == p, fresh)) for p in range(picks)]))
-        state = m.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(fresh).alias("left"), some.alias("some"))
-        state = materialize(state.filter("low < high AND left > 1").select("t", F.when((F.col("left") > WHOLE) | F.lit(turn == 0), F.col("some")).alias("some")), "nd-open")
+        state = m.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(fresh).alias("left"), F.min(fresh).alias("first"))
+        state = materialize(state.filter("low < high AND left > 1").select("t", "left", "first"), "nd-open")
         if state.isEmpty():
             return comps
-        # a member is a pivot of this round if it was picked, or all fresh members are
-        m = m.join(state, "t").withColumn("now", ~F.col("was") & F.coalesce(F.array_contains("some", F.col("rep")), F.lit(True))).drop("some")
+        chosen = F.col("rep") == F.col("first")
+        if turn:
+            chosen |= F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("left") / picks)) == 0
+        m = m.join(state, "t").select("t", "rep", "n", "was", "comp", (~F.col("was") & chosen).alias("now"))
         m = materialize(m, "nd-split")
         turn += 1
         if turn == SPLIT_AT + 1:
-            tables = _prefix_tables(m, sets).withColumn("was", F.lit(False))
+            tables, picks = _prefix_tables(m, sets).withColumn("was", F.lit(False)), PICKS
             continue
+        picks *= GROWTH if turn > 1 else 1
         y = m.filter("now").select("t", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
         alike = 100 * F.least("n", "ny") >= PERCENT * F.greatest("n", "ny")
         pairs = m.join(y, "t").filter((F.col("comp") != F.col("cy")) & alike)
@@ -226,7 +228,8 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         pairs = materialize(pairs.join(tested, ["x", "y"], "left_anti"), "nd-pairs")
         found = materialize(_linked(pairs, sets), "nd-links")
         tested = tested.unionByName(pairs)
-        comps = components(comps.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found))
+        if not found.isEmpty():
+            comps = components(comps.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found))
         tables = m.select("t", "rep", "n", (F.col("was") | F.col("now")).alias("was"))
 
 
