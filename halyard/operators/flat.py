@@ -50,7 +50,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: Metric, blo
         part = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == block)
         t = part.toArrow()
         qid = t.column(0).to_numpy()
-        matrix = np.array(t.column(1).to_pylist(), np.float32).reshape(len(qid), -1)
+        matrix = np.array(t.column(1).to_pylist(), np.float32).reshape(len(qid), -1 if len(qid) else 0)
         found = vectors.select("id", "vector").mapInArrow(_scorer(vectors, qid, matrix, k, metric), "qid long, id long, score float")
         out = found if out is None else out.unionByName(found)
     place = F.row_number().over(W.partitionBy("qid").orderBy(*best_first()))
