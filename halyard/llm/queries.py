@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, mixing, mpeg_audio, near_dup, pii, token_binary, token_counts, toxicity
+from . import decontaminate, license_scan, mixing, mpeg_audio, near_dup, pii, suffix_dedup, token_binary, token_counts, toxicity
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_mpeg_audio": op5_mpeg_audio,
     "op6_token_counts": op6_token_counts,
     "op7_pii": op7_pii,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_dup": op9_near_dup,
     "op10_mixing": op10_mixing,
 }
