@@ -40,9 +40,23 @@ TOKENIZER = "word_bpe_49k.json"
 #: Ranks in a block, about.
 BLOCK = 1 << 20
 #: White-space chunks whose ids a worker remembers (a bound on its memory only).
-REMEMBER = 600_000
+REMEMBER = 1_500_000
 
-_SIMPLE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# chunks of printable ASCII and Latin-1 letters, and the tokenizer's words in them
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The byte-level alphabet for Latin-1 letters: a byte that is a visible
+    Latin-1 character stands for itself, the others count up from 256."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    symbol = {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+    return {c: "".join(symbol[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+_SYMBOLS = _byte_symbols()
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
@@ -51,8 +65,8 @@ class ChunkEncoder:
 
     The tokenizer drops white space and never merges across it, so a text's ids
     are its chunks' ids one after another; chunks repeat, so each is encoded
-    once. A chunk of plain ASCII goes straight to the library's merge model,
-    any other through the library's whole pipeline. Texts with the four control
+    once. A chunk of printable ASCII and Latin-1 letters goes word by word to the
+    library's merge model, any other through the library's whole pipeline. Texts with the four control
     characters that only Python counts as white space are encoded in one piece.
     """
 
@@ -73,14 +87,15 @@ class ChunkEncoder:
     def _piece(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            got = self._pack([t.id for t in self.model.tokenize(part)])
+            symbols = part if part.isascii() else part.translate(_SYMBOLS)
+            got = self._pack([t.id for t in self.model.tokenize(symbols)])
             if len(self.parts) < REMEMBER:
                 self.parts[part] = got
         return got
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
-            got = b"".join(map(self._piece, _SIMPLE.findall(chunk.lower())))
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            got = b"".join(map(self._piece, _WORDS.findall(chunk.lower())))
         else:
             got = self._pack(self.whole.encode(chunk, add_special_tokens=False).ids)
         if len(self.chunks) < REMEMBER:

@@ -39,6 +39,22 @@ def test_ties_nulls_and_empty_table(spark):
     assert tb.token_binary(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abZ'stl019.,<|>éÀÿßÜñ×÷ªµ½²\u00ad\u0301 \n", max_size=30))
+def test_chunks_equal_whole_texts(t):
+    path = public_tokenizers.path(tb.TOKENIZER)
+    enc = tb._loaded.setdefault("test", tb.ChunkEncoder(path)) if "test" not in tb._loaded else tb._loaded["test"]
+    assert np.frombuffer(enc.encode(t), np.uint16).tolist() == enc.whole.encode(t, add_special_tokens=False).ids
+
+
+def test_chunks_equal_whole_texts_of_the_corpus():
+    import pyarrow.parquet as pq
+
+    enc = tb.ChunkEncoder(public_tokenizers.path(tb.TOKENIZER))
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist():
+        assert np.frombuffer(enc.encode(t), np.uint16).tolist() == enc.whole.encode(t, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=70))
 def test_code_round_trip(ranks):
