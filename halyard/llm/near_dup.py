@@ -12,14 +12,15 @@ tables. A pair of similarity s shares a table with probability
 2. Only sub-keys that two classes share can lead to a shared table, so tables are
    keyed from those alone. Tables with the same members are looked at once.
 3. Rounds. In each table that still spans several components a few members become
-   pivots, and every member of another component is compared with them on the
-   full sets. Verified links join components. A table is finished once it lies in
-   one component or all but one of its members have been pivots, so every
-   candidate pair is either compared or already joined; a member meets about
-   ``PICKS`` pivots of a table in a round (more in later rounds, which few tables
-   reach), whatever the table's size. Tables still open after two rounds hold mostly
-   unlike members (texts that share a common line); they are replaced by tables
-   of their members' rarest shingles, which any similar pair shares.
+   pivots, and every member of another component is compared with them: first by
+   sizes and a bound on the sets' difference, then on the full sets. Verified links
+   join components. A table is finished once it lies in one component or all but
+   one of its members have been pivots, so every candidate pair is either compared
+   or already joined. A member meets about ``WHOLE`` pivots of a table in a round
+   (more in later rounds, which few tables reach), whatever the table's size.
+   Larger tables still open after two rounds hold mostly unlike members (texts that
+   share a common line); they are replaced by tables of their members' rarest
+   shingles, one of which any similar pair shares.
 4. Components by alternating large-star and small-star steps.
 
 Everything is a table in the shared folder; no documents, links or components
@@ -50,6 +51,8 @@ PERCENT = 85
 SIDE = 8
 #: Minhashes in a sub-key.
 WIDTH = 2
+#: 64-bit words of parity bits kept with a set.
+PARITY_WORDS = 16
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1, 2**63, 2 * SIDE * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,7 +98,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and set of the documents in ``ids`` (doc_id), as sorted 64-bit values."""
+    """doc_id, size, parities and set (sorted 64-bit values) of the documents in
+    ``ids`` (doc_id)."""
 
     def run(batches):
         for b in batches:
@@ -103,10 +107,30 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for i, j in K.blocks(offsets):
                 v, before = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(v.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists], ["doc_id", "set"])
+                parity = parities(v, np.repeat(np.arange(j - i), np.diff(before)), j - i)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * PARITY_WORDS, pa.int32()), pa.array(parity))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(before), pa.int64()), bits, lists], ["doc_id", "n", "parity", "set"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set array<long>")
+    return d.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, parity array<long>, set array<long>")
+
+
+def parities(values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """Of each text PARITY_WORDS words of bits: whether an odd number of its
+    values fall on the bit. Two sets differ by at least the bits in which these
+    differ, which is a bound, not an estimate."""
+    out = np.zeros(texts * PARITY_WORDS, np.int64)
+    bit = (K.mix64(values ^ K.BASE) >> np.uint64(32)).astype(np.int64) % (64 * PARITY_WORDS)
+    np.bitwise_xor.at(out, text * PARITY_WORDS + bit // 64, np.left_shift(np.int64(1), bit % 64))
+    return out
+
+
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) that the bound on their difference lets pass:
+    similarity p needs a difference of at most (1 - p) / (1 + p) of both sizes."""
+    x, y = (sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in "xy")
+    apart = F.aggregate(F.zip_with("p_x", "p_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
+    return pairs.join(x, "x").join(y, "y").filter(apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col("n_x") + F.col("n_y"))).select("x", "y").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,7 +204,7 @@ def _prefix_tables(members: DataFrame, sets: DataFrame) -> DataFrame:
     the shingles of each set ordered by frequency, one of the first
     ``n - ceil(n * PERCENT / 100) + 1``. Those shingles key the new tables."""
     ids = members.select(F.col("rep").alias("doc_id"), "n").distinct()
-    rows = sets.join(ids, "doc_id").select(F.col("doc_id").alias("rep"), "n", F.explode("set").alias("t"))
+    rows = sets.join(ids, ["doc_id", "n"]).select(F.col("doc_id").alias("rep"), "n", F.explode("set").alias("t"))
     often = rows.groupBy("t").agg(F.count("*").alias("often"))
     place = F.row_number().over(W.partitionBy("rep").orderBy("often", "t"))
     ranked = rows.join(often, "t").withColumn("place", place)
@@ -188,12 +212,11 @@ def _prefix_tables(members: DataFrame, sets: DataFrame) -> DataFrame:
     return _once(ranked.filter((F.col("place") <= F.col("n") - need + 1) & (F.col("often") > 1)).select("rep", "n", "t"))
 
 
-#: In the first round a table has one pivot. In the second a table has up to PICKS
-#: or so, chosen by hash among members that were none yet, and GROWTH times as many
-#: each round after; tables with fewer members than that make pivots of all.
-PICKS, GROWTH = 24, 4
-#: Before this round, tables still open are split by their members' rarest shingles.
-SPLIT_AT = 2
+#: In the first round a table has one pivot. Later on, tables with up to WHOLE
+#: members that were none yet make pivots of all of them. Larger ones are split by
+#: their members' rarest shingles after the second round, and then have about
+#: WHOLE pivots, chosen by hash, and GROWTH times as many each round after.
+WHOLE, GROWTH, SPLIT_AT = 16, 4, 2
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -203,7 +226,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     sets = materialize(_sets(docs, tables.select(F.col("rep").alias("doc_id")).distinct()), "nd-sets")
     comps = spark.range(0).selectExpr("id AS node", "id AS component")
     tested = spark.range(0).selectExpr("id AS x", "id AS y")
-    turn, picks = 0, PICKS
+    turn, picks = 0, WHOLE
     while True:
         m = tables.join(comps, tables["rep"] == comps["node"], "left").select("t", "rep", "n", "was", F.coalesce("component", "rep").alias("comp"))
         fresh = F.when(~F.col("was"), F.col("rep"))
@@ -212,21 +235,23 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         if state.isEmpty():
             return comps
         chosen = F.col("rep") == F.col("first")
-        if turn:
+        if turn == 1:
+            chosen = F.col("left") <= WHOLE
+        elif turn > SPLIT_AT:
             chosen |= F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("left") / picks)) == 0
+            picks *= GROWTH
         m = m.join(state, "t").select("t", "rep", "n", "was", "comp", (~F.col("was") & chosen).alias("now"))
         m = materialize(m, "nd-split")
         turn += 1
         if turn == SPLIT_AT + 1:
-            tables, picks = _prefix_tables(m, sets).withColumn("was", F.lit(False)), PICKS
+            tables = _prefix_tables(m, sets).withColumn("was", F.lit(False))
             continue
-        picks *= GROWTH if turn > 1 else 1
         y = m.filter("now").select("t", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
         alike = 100 * F.least("n", "ny") >= PERCENT * F.greatest("n", "ny")
         pairs = m.join(y, "t").filter((F.col("comp") != F.col("cy")) & alike)
         pairs = pairs.select(F.greatest("rep", "y").alias("x"), F.least("rep", "y").alias("y")).distinct()
         pairs = materialize(pairs.join(tested, ["x", "y"], "left_anti"), "nd-pairs")
-        found = materialize(_linked(pairs, sets), "nd-links")
+        found = materialize(_linked(_possible(pairs, sets), sets), "nd-links")
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
             comps = components(comps.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found))

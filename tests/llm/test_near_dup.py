@@ -84,6 +84,14 @@ def test_components_of_paths(spark):
     assert comps == {**{i: 0 for i in range(1, 31)}, **{i: 31 for i in range(32, 61)}, 100: 90}
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a, b = (set(rng.integers(0, 400, int(rng.integers(0, 300))).tolist()) for _ in range(2))
+        p = [nd.parities(np.array(sorted(s), np.uint64), np.zeros(len(s), int), 1) for s in (a, b)]
+        assert sum(int(x).bit_count() for x in (p[0] ^ p[1]).view(np.uint64)) <= len(a ^ b)
+
+
 @pytest.mark.parametrize("s", [0.85, 0.92])
 def test_share_of_pairs_found(s):
     assert (1 - (1 - s**nd.WIDTH) ** nd.SIDE) ** 2 > 0.9999
