@@ -1,10 +1,10 @@
 """Similarity metrics as column expressions.
 
 ``float32`` accumulates one component after another in single precision;
-``float64`` in double precision. Both stay in the JVM. A vector of a known
-dimension up to ``UNROLL`` is summed by an expression without lambdas, which
-whole-stage code generation compiles; longer ones by a higher-order function.
-The order of additions is the same, so are the results.
+``float64`` in double precision. Both are higher-order functions in the JVM. (A sum
+written out component by component would be compiled with the stage, but planning
+it takes seconds at 64 dimensions; large scans are scored in Arrow batches instead,
+see ``operators.flat``.)
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from ..model import Metric
 
-UNROLL = 128
-
 
 def query_vector(values: Sequence[float], kind: str = "float") -> Column:
     """A query as an array literal, folded into the plan."""
@@ -28,14 +26,8 @@ def _kind(precision: str) -> str:
     return {"float32": "float", "float64": "double"}[precision]
 
 
-def _sum(a: Column, b: Column, term, kind: str, dimension: int | None) -> Column:
-    zero = F.lit(0.0).cast(kind)
-    if dimension is not None and dimension <= UNROLL:
-        out = zero
-        for i in range(dimension):
-            out = out + term(F.get(a, F.lit(i)).cast(kind), F.get(b, F.lit(i)).cast(kind))
-        return out
-    return F.aggregate(F.zip_with(a, b, lambda x, y: term(x.cast(kind), y.cast(kind))), zero, lambda s, x: s + x)
+def _sum(a: Column, b: Column, term, kind: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: term(x.cast(kind), y.cast(kind))), F.lit(0.0).cast(kind), lambda s, x: s + x)
 
 
 def same_length(a: Column, b: Column, value: Column) -> Column:
@@ -43,36 +35,36 @@ def same_length(a: Column, b: Column, value: Column) -> Column:
     return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("Vector lengths differ")).cast("float"))
 
 
-def dot_product(a: Column, b: Column, precision: str = "float32", dimension: int | None = None) -> Column:
-    return _sum(a, b, lambda x, y: x * y, _kind(precision), dimension)
+def dot_product(a: Column, b: Column, precision: str = "float32") -> Column:
+    return _sum(a, b, lambda x, y: x * y, _kind(precision))
 
 
-def euclidean_distance(a: Column, b: Column, precision: str = "float32", dimension: int | None = None) -> Column:
+def euclidean_distance(a: Column, b: Column, precision: str = "float32") -> Column:
     kind = _kind(precision)
-    return F.sqrt(_sum(a, b, lambda x, y: (x - y) * (x - y), kind, dimension)).cast(kind)
+    return F.sqrt(_sum(a, b, lambda x, y: (x - y) * (x - y), kind)).cast(kind)
 
 
-def magnitude(a: Column, precision: str = "float32", dimension: int | None = None) -> Column:
+def magnitude(a: Column, precision: str = "float32") -> Column:
     kind = _kind(precision)
-    return F.sqrt(_sum(a, a, lambda x, y: x * y, kind, dimension)).cast(kind)
+    return F.sqrt(_sum(a, a, lambda x, y: x * y, kind)).cast(kind)
 
 
-def cosine_similarity(a: Column, b: Column, precision: str = "float32", dimension: int | None = None) -> Column:
+def cosine_similarity(a: Column, b: Column, precision: str = "float32") -> Column:
     """0 where either vector has no magnitude."""
     kind = _kind(precision)
-    na, nb = magnitude(a, precision, dimension), magnitude(b, precision, dimension)
+    na, nb = magnitude(a, precision), magnitude(b, precision)
     zero = F.lit(0.0).cast(kind)
-    return F.when((na == 0) | (nb == 0), zero).otherwise(F.try_divide(dot_product(a, b, precision, dimension), (na * nb).cast(kind)).cast(kind))
+    return F.when((na == 0) | (nb == 0), zero).otherwise(F.try_divide(dot_product(a, b, precision), (na * nb).cast(kind)).cast(kind))
 
 
-def distance(metric: Metric, a: Column, b: Column, precision: str = "float32", dimension: int | None = None) -> Column:
+def distance(metric: Metric, a: Column, b: Column, precision: str = "float32") -> Column:
     """Smaller is nearer."""
     one = F.lit(1.0).cast(_kind(precision))
     if metric is Metric.COSINE:
-        return one - cosine_similarity(a, b, precision, dimension)
+        return one - cosine_similarity(a, b, precision)
     if metric is Metric.DOT_PRODUCT:
-        return -dot_product(a, b, precision, dimension)
-    return euclidean_distance(a, b, precision, dimension)
+        return -dot_product(a, b, precision)
+    return euclidean_distance(a, b, precision)
 
 
 def distance_to_score(metric: Metric, d: Column, precision: str = "float32") -> Column:
@@ -85,13 +77,13 @@ def distance_to_score(metric: Metric, d: Column, precision: str = "float32") ->
     return F.try_divide(one, one + d).cast(kind)
 
 
-def score(metric: Metric, a: Column, b: Column, precision: str = "float32", dimension: int | None = None) -> Column:
+def score(metric: Metric, a: Column, b: Column, precision: str = "float32") -> Column:
     """Higher is better for every metric."""
     if metric is Metric.COSINE:
-        return cosine_similarity(a, b, precision, dimension)
+        return cosine_similarity(a, b, precision)
     if metric is Metric.DOT_PRODUCT:
-        return dot_product(a, b, precision, dimension)
-    return distance_to_score(metric, euclidean_distance(a, b, precision, dimension), precision)
+        return dot_product(a, b, precision)
+    return distance_to_score(metric, euclidean_distance(a, b, precision), precision)
 
 
 def guarded(vector: Column, dimension: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
@@ -21,13 +21,21 @@ def candidates(k: int, filtered: bool, cap: int = OVERSAMPLE_CAP) -> int:
     return min(OVERSAMPLE * k, cap) if filtered else k
 
 
-def search_plan(vectors: DataFrame, query, k: int, metric: Metric, where: Filter | None = None, precision: str = "float32", dimension: int | None = None) -> DataFrame:
+def search_plan(vectors: DataFrame, query, k: int, metric: Metric, where: Filter | None = None, precision: str = "float32", rows: int = 0) -> DataFrame:
     """Scan, score, take the best candidates, filter those, take k.
 
     The filter sees a bounded number of the best rows and nothing else, so it
     may leave fewer than k; the limit below it keeps it from being pushed down.
+    ``query`` is a column or a list of numbers; with a list and enough ``rows``
+    the scan is scored in Arrow batches, with the same results.
     """
-    found = flat.search(vectors, query, candidates(k, where is not None), metric, precision, dimension)
+    want = candidates(k, where is not None)
+    if isinstance(query, Column):
+        found = flat.search(vectors, query, want, metric, precision)
+    elif rows * len(query) >= flat.BATCHED_FROM and precision == "float32":
+        found = flat.batch_search(vectors, query, want, metric)
+    else:
+        found = flat.search(vectors, metrics.query_vector(query), want, metric, precision)
     if where is not None:
         found = found.filter(where.column()).orderBy(*flat.best_first()).limit(k)
     return found
@@ -91,7 +99,7 @@ class Collection:
             return self.spark.createDataFrame([], RESULT_SCHEMA)
         columns = [f.name for f in RESULT_SCHEMA]
         if self.index_type is IndexType.FLAT or self.generation == 0:
-            return search_plan(self.vectors(), metrics.query_vector(q), k, self.metric, where, dimension=self.dimension).select(columns)
+            return search_plan(self.vectors(), q, k, self.metric, where, rows=len(self)).select(columns)
         return self._graph_search(q, k, where, ef_search).select(columns)
 
     def _graph_search(self, q: list[float], k: int, where: Filter | None, ef_search: int | None) -> DataFrame:
@@ -101,7 +109,7 @@ class Collection:
         if m.vector_count:
             found = hnsw.search(self.store.snapshot(m), self.store.graph(m), [q], want, self.metric, m.hnsw, m.shards, ef_search).select("id", "score")
         if (new := self.store.logged(m)) is not None:
-            exact = flat.search(new, metrics.query_vector(q), want, self.metric, dimension=self.dimension).select("id", "score")
+            exact = flat.search(new, metrics.query_vector(q), want, self.metric).select("id", "score")
             found = exact if found is None else found.unionByName(exact)
         found = found.orderBy(*flat.best_first()).limit(want)
         rows = self.vectors().join(found, "id")

@@ -44,14 +44,14 @@ def _rounded(df: DataFrame) -> DataFrame:
 def _top(metric: Metric, k: int, where: Filter | None = None) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = _with_query(spark, sf_dir)
-        return _rounded(search_plan(v, F.col("q"), k, metric, where, "float64", DIM))
+        return _rounded(search_plan(v, F.col("q"), k, metric, where, "float64"))
 
     return run
 
 
 def _score_all(metric: Metric) -> Callable:
     def run(spark, sf_dir):
-        return _rounded(flat.scored(_with_query(spark, sf_dir), F.col("q"), metric, "float64", DIM))
+        return _rounded(flat.scored(_with_query(spark, sf_dir), F.col("q"), metric, "float64"))
 
     return run
 
@@ -59,12 +59,12 @@ def _score_all(metric: Metric) -> Callable:
 def _cosine_zero(spark, sf_dir):
     """Every fifth vector set to zero scores 0."""
     v = _with_query(spark, sf_dir).withColumn("vector", F.when(F.col("id") % 5 == 0, F.transform("vector", lambda x: x * F.lit(0).cast("float"))).otherwise(F.col("vector")))
-    return _rounded(flat.scored(v, F.col("q"), COS, "float64", DIM))
+    return _rounded(flat.scored(v, F.col("q"), COS, "float64"))
 
 
 def _distance_form(spark, sf_dir):
     v = _with_query(spark, sf_dir)
-    d = {m: metrics.distance(m, F.col("vector"), F.col("q"), "float64", DIM) for m in Metric}
+    d = {m: metrics.distance(m, F.col("vector"), F.col("q"), "float64") for m in Metric}
     return v.select(F.col("id").alias("vec_id"), *[F.round(x, 6).alias(f"{m.value}_distance") for m, x in d.items()], *[F.round(metrics.distance_to_score(m, x, "float64"), 6).alias(f"{m.value}_score") for m, x in d.items()])
 
 
@@ -72,7 +72,7 @@ def _filtered_cap(spark, sf_dir):
     """Six copies of each vector, so that the cap of 2,000 candidates binds."""
     v = _vectors(spark, sf_dir).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("id", F.col("id") * 6 + F.col("copy"))
     v = _with_query(spark, sf_dir, v.drop("copy"))
-    return _rounded(search_plan(v, F.col("q"), 1000, COS, Filter.eq("parity", 1), "float64", DIM))
+    return _rounded(search_plan(v, F.col("q"), 1000, COS, Filter.eq("parity", 1), "float64"))
 
 
 def _filter_types(spark, sf_dir):

@@ -13,7 +13,7 @@ from halyard.plans.collection import candidates, in_memory, search_plan
 def search(spark, vectors, query, k, metric=Metric.COSINE, where=None, metas=None, externals=None):
     metas, externals = metas or [{}] * len(vectors), externals or [None] * len(vectors)
     df = in_memory(spark, list(zip(vectors, metas, externals, strict=True)))
-    return search_plan(df, M.query_vector(query), k, metric, where, dimension=len(query)).collect()
+    return search_plan(df, M.query_vector(query), k, metric, where).collect()
 
 
 AXES = [[1, 0, 0], [0, 1, 0], [1, 1, 0]]
@@ -75,9 +75,25 @@ def test_filter_sees_only_the_oversampled_candidates(spark):
     assert candidates(1000, True) == 2000 and candidates(3000, True) == 2000 and candidates(3000, False) == 3000 and candidates(10, True) == 50
 
 
+@pytest.mark.parametrize("metric", Metric)
+def test_batches_score_the_same_bits(spark, metric, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 24)).astype(np.float32)
+    x[7] = x[8] = x[100]
+    x[3] = 0
+    df = in_memory(spark, [(v, {"p": i % 2}, f"e{i}") for i, v in enumerate(x.tolist())]).repartition(4)
+    for where in (None, Filter.eq("p", 1)):
+        a = search_plan(df, x[100].tolist(), 20, metric, where).collect()
+        monkeypatch.setattr(flat, "BATCHED_FROM", 0)
+        b = search_plan(df, x[100].tolist(), 20, metric, where, rows=300).collect()
+        monkeypatch.undo()
+        assert [r.asDict() for r in a] == [r.asDict() for r in b] and len(a) == 20
+    assert [r["id"] for r in a][:1] == [7]
+
+
 def test_plan_shape(spark):
     df = in_memory(spark, [([1, 0], {"a": 1}, None)])
-    plan = search_plan(df, M.query_vector([1, 0]), 10, Metric.COSINE, Filter.eq("a", 1), dimension=2)._jdf.queryExecution().executedPlan().toString()
+    plan = search_plan(df, M.query_vector([1, 0]), 10, Metric.COSINE, Filter.eq("a", 1))._jdf.queryExecution().executedPlan().toString()
     top = plan.index("TakeOrderedAndProject(limit=10")
     assert top < plan.index("Filter", top) < plan.index("TakeOrderedAndProject(limit=50") and "Exchange" not in plan
 
@@ -92,7 +108,7 @@ def test_knn_join_equals_single_searches(spark):
             got = {(r["qid"], r["rank"]): r["id"] for r in flat.knn_join(queries, df, 5, metric, block).collect()}
             assert len(got) == 60
             for i in (0, 50, 110):
-                want = search_plan(df, M.query_vector(x[i].tolist()), 5, metric, dimension=8).collect()
+                want = search_plan(df, M.query_vector(x[i].tolist()), 5, metric).collect()
                 assert [got[i, r + 1] for r in range(5)] == [w["id"] for w in want]
     assert flat.knn_join(queries.limit(0), df, 5, Metric.COSINE).count() == 0
 
@@ -128,7 +144,7 @@ def test_graph_small(spark, metric):
     df = in_memory(spark, [(v, {}, None) for v in AXES])
     graph = hnsw.build(df, metric)
     got = hnsw.search(df, graph, [[1, 0, 0]], 10, metric).collect()
-    want = search_plan(df, M.query_vector([1, 0, 0]), 10, metric, dimension=3).collect()
+    want = search_plan(df, M.query_vector([1, 0, 0]), 10, metric).collect()
     assert len(got) == 3 and all(abs(a["score"] - b["score"]) < 1e-6 for a, b in zip(got, want, strict=True))
     assert hnsw.search(df, graph, [[1, 0, 0]], 0, metric).count() == 0
 
