@@ -41,13 +41,16 @@ from .common import discard, materialize
 
 WINDOW = 400
 GRAM = 64
-#: Distinct contexts of one anchor that a shard takes at most.
-CROWD = 2000
+#: Distinct contexts of one anchor that a shard takes at most: of 736 bytes each at
+#: most, so 4.4 MB; sorting takes some 60 bytes of memory a byte.
+CROWD = 6000
 #: Context bytes in a shard, about.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Windows of a block of text that are looked at together.
 BLOCK = 1 << 20
 POSITION = np.uint64((1 << 22) - 1)
+#: Symbols that one comparison of suffixes looks at.
+SORT_BLOCK = 32
 
 
 class Rolling:
@@ -156,9 +159,9 @@ def _runs(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, RUN_SCHEMA)
 
 
-def suffixes_two_stage(t: np.ndarray, depth: int) -> np.ndarray:
+def suffixes_two_stage(t: np.ndarray, depth: int, rank: np.ndarray) -> np.ndarray:
     """Suffix array of ``t`` (symbols 1-255, 0 as separator and last symbol),
-    exact in the first ``depth`` symbols of each suffix."""
+    exact in the first ``depth`` symbols of each suffix. rank: of its blocks."""
     n = len(t)
     # smaller than its successor: by the first symbol that differs from the next
     differs = np.append(t[:-1] != t[1:], True)
@@ -166,26 +169,24 @@ def suffixes_two_stage(t: np.ndarray, depth: int) -> np.ndarray:
     small = np.append(t, 0)[at] < np.append(t, 0)[at + 1]
     small[-1] = True
     direct = np.flatnonzero(small)
-    padded = np.concatenate([t, np.zeros(depth + 16, np.uint8)])
-    words = eight(padded)
-    order = np.argsort(words[direct], kind="stable")
+    # compared by the ranks of blocks, which are in the order of the blocks' symbols
+    block = SORT_BLOCK
+    order = np.argsort(rank[direct], kind="stable")
     direct = direct[order]
-    key = words[direct]
+    key = rank[direct]
     group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-    for d in range(8, depth, 8):
-        size = np.bincount(group)
-        open_ = np.flatnonzero(size[group] > 1)
+    for d in range(block, depth, block):
+        open_ = np.flatnonzero(np.bincount(group)[group] > 1)
         if not len(open_):
             break
-        key = words[direct[open_] + d]
-        sub = np.lexsort((key, group[open_]))
+        key = group[open_].astype(np.uint64) << np.uint64(32) | rank[direct[open_] + d]
+        sub = np.argsort(key)
         direct[open_] = direct[open_][sub]
         key = key[sub]
-        g = group[open_]
-        new = np.zeros(len(group), np.int64)
-        new[open_[1:]] = (g[1:] == g[:-1]) & (key[1:] != key[:-1])
-        old = np.concatenate([[0], np.diff(group)])
-        group = np.cumsum((old + new) > 0)
+        new = np.zeros(len(group), bool)
+        new[1:] = group[1:] != group[:-1]
+        new[open_[1:]] |= key[1:] != key[:-1]
+        group = np.cumsum(new)
     # induce the others, bucket by bucket
     count = np.bincount(t, minlength=256)
     start = np.concatenate([[0], np.cumsum(count)])
@@ -219,6 +220,22 @@ def suffixes_two_stage(t: np.ndarray, depth: int) -> np.ndarray:
     return sa
 
 
+def padding(t: np.ndarray, depth: int) -> np.ndarray:
+    return np.concatenate([t, np.zeros(depth + 2 * SORT_BLOCK, np.uint8)])
+
+
+def block_ranks(padded: np.ndarray) -> np.ndarray:
+    """Dense rank of the block of symbols at each place that has a whole one."""
+    _, rank = np.unique(eight(padded), return_inverse=True)
+    width = 8
+    while width < SORT_BLOCK:
+        r = rank.astype(np.uint64)
+        del rank
+        _, rank = np.unique(r[:-width] << np.uint64(32) | r[width:], return_inverse=True)
+        width *= 2
+    return rank.astype(np.uint32)
+
+
 def eight(padded: np.ndarray) -> np.ndarray:
     """The eight symbols from each place on, as a big-endian number."""
     n = len(padded) - 8
@@ -228,8 +245,22 @@ def eight(padded: np.ndarray) -> np.ndarray:
     return out
 
 
-def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of suffixes a[i] and b[i], up to ``most``."""
+def common_prefixes(words: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of suffixes a[i] and b[i], up to ``most``: by
+    ranks of whole blocks, and by symbols in the first block that differs."""
+    out = np.full(len(a), most)
+    live = np.arange(len(a))
+    for d in range(0, most, SORT_BLOCK):
+        same = rank[a[live] + d] == rank[b[live] + d]
+        off = live[~same]
+        out[off] = np.minimum(d + _in_block(words, a[off] + d, b[off] + d, SORT_BLOCK), most)
+        live = live[same]
+        if not len(live):
+            break
+    return out
+
+
+def _in_block(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     out = np.full(len(a), most)
     live = np.arange(len(a))
     for d in range(0, most, 8):
@@ -256,10 +287,11 @@ def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
     mine = np.zeros(len(t), bool)
     for b, n in zip(begin.tolist(), size.tolist(), strict=True):
         mine[b : b + n - WINDOW + 1] = True
-    sa = suffixes_two_stage(t, WINDOW)
+    padded = padding(t, WINDOW)
+    rank = block_ranks(padded)
+    sa = suffixes_two_stage(t, WINDOW, rank)
     sa = sa[mine[sa]]
-    words = eight(np.concatenate([t, np.zeros(WINDOW + 16, np.uint8)]))
-    same = common_prefixes(words, sa[:-1], sa[1:], WINDOW) == WINDOW
+    same = common_prefixes(eight(padded), rank, sa[:-1], sa[1:], WINDOW) == WINDOW
     hit = np.zeros(len(t), bool)
     hit[sa[:-1][same]] = hit[sa[1:][same]] = True
     return [hit[b : b + n - WINDOW + 1] for b, n in zip(begin.tolist(), size.tolist(), strict=True)]

@@ -14,16 +14,20 @@ def test_two_stage_order(symbols, doubled):
     for _ in range(doubled):
         symbols = symbols + symbols
     t = np.array([*symbols, 0], np.uint8)
-    sa = sd.suffixes_two_stage(t, len(t) + 8)
+    depth = len(t) + 8
+    sa = sd.suffixes_two_stage(t, depth, sd.block_ranks(sd.padding(t, depth)))
     want = sorted(range(len(t)), key=lambda i: t[i:].tobytes())
     assert sa.tolist() == want
 
 
 def test_common_prefixes():
-    t = np.frombuffer(b"abcdefghijkl\x00abcdefghijXl\x00" + bytes(40), np.uint8)
-    words = sd.eight(t)
-    got = sd.common_prefixes(words, np.array([0, 1, 0, 5]), np.array([13, 14, 1, 18]), 10)
-    assert got.tolist() == [10, 9, 0, 5]
+    long = bytes(range(1, 90))
+    t = np.frombuffer(b"abcdefghijkl\x00abcdefghijXl\x00" + long + b"\x00" + long[:70] + b"\x00", np.uint8)
+    padded = sd.padding(t, 100)
+    a, b = np.array([0, 1, 0, 5, 26, 27]), np.array([13, 14, 1, 18, 116, 117])
+    for most in (10, 100):
+        got = sd.common_prefixes(sd.eight(padded), sd.block_ranks(padded), a, b, most)
+        assert got.tolist() == [min(x, most) for x in (10, 9, 0, 5, 70, 69)]
 
 
 @settings(max_examples=50, deadline=None)
