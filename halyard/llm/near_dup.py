@@ -147,8 +147,12 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             kept = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:2], ["x", "y"])
 
-    x = sets.select(F.col("doc_id").alias("x"), F.col("set").alias("set_x"))
-    y = sets.select(F.col("doc_id").alias("y"), F.col("set").alias("set_y"))
+    # sets of documents in no pair are left behind before sets are dealt by id;
+    # while the ids are few, Spark's size-checked broadcast does it without a shuffle
+    ids = materialize(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "nd-ids")
+    some = sets.select("doc_id", "set").join(ids, "doc_id", "left_semi")
+    x = some.select(F.col("doc_id").alias("x"), F.col("set").alias("set_x"))
+    y = some.select(F.col("doc_id").alias("y"), F.col("set").alias("set_y"))
     both = pairs.join(x, "x").join(y, "y").select("x", "y", "set_x", "set_y")
     return both.mapInArrow(run, "x long, y long").distinct()
 
@@ -251,7 +255,8 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         pairs = m.join(y, "t").filter((F.col("comp") != F.col("cy")) & alike)
         pairs = pairs.select(F.greatest("rep", "y").alias("x"), F.least("rep", "y").alias("y")).distinct()
         pairs = materialize(pairs.join(tested, ["x", "y"], "left_anti"), "nd-pairs")
-        found = materialize(_linked(_possible(pairs, sets), sets), "nd-links")
+        possible = materialize(_possible(pairs, sets), "nd-possible")
+        found = materialize(_linked(possible, sets), "nd-links")
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
             comps = components(comps.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found))
