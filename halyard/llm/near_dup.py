@@ -125,12 +125,9 @@ def parities(values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
-def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) that the bound on their difference lets pass:
-    similarity p needs a difference of at most (1 - p) / (1 + p) of both sizes."""
-    x, y = (sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in "xy")
-    apart = F.aggregate(F.zip_with("p_x", "p_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
-    return pairs.join(x, "x").join(y, "y").filter(apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col("n_x") + F.col("n_y"))).select("x", "y").distinct()
+def _apart(x: str, y: str):
+    """At least so many values are in one of two sets only."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,13 +223,15 @@ WHOLE, GROWTH, SPLIT_AT = 16, 4, 2
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(node, component) of the classes that are not their component's smallest."""
     spark = docs.sparkSession
-    tables = _tables(reps).withColumn("was", F.lit(False))
+    tables = _tables(reps)
     sets = materialize(_sets(docs, tables.select(F.col("rep").alias("doc_id")).distinct()), "nd-sets")
+    parity = sets.select(F.col("doc_id").alias("rep"), "n", "parity")
+    tables = tables.join(parity, ["rep", "n"]).withColumn("was", F.lit(False))
     comps = spark.range(0).selectExpr("id AS node", "id AS component")
     tested = spark.range(0).selectExpr("id AS x", "id AS y")
     turn, picks = 0, WHOLE
     while True:
-        m = tables.join(comps, tables["rep"] == comps["node"], "left").select("t", "rep", "n", "was", F.coalesce("component", "rep").alias("comp"))
+        m = tables.join(comps, tables["rep"] == comps["node"], "left").select("t", "rep", "n", "parity", "was", F.coalesce("component", "rep").alias("comp"))
         fresh = F.when(~F.col("was"), F.col("rep"))
         state = m.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(fresh).alias("left"), F.min(fresh).alias("first"))
         state = materialize(state.filter("low < high AND left > 1").select("t", "left", "first"), "nd-open")
@@ -244,23 +243,25 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         elif turn > SPLIT_AT:
             chosen |= F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("left") / picks)) == 0
             picks *= GROWTH
-        m = m.join(state, "t").select("t", "rep", "n", "was", "comp", (~F.col("was") & chosen).alias("now"))
+        m = m.join(state, "t").select("t", "rep", "n", "parity", "was", "comp", (~F.col("was") & chosen).alias("now"))
         m = materialize(m, "nd-split")
         turn += 1
         if turn == SPLIT_AT + 1:
-            tables = _prefix_tables(m, sets).withColumn("was", F.lit(False))
+            tables = _prefix_tables(m, sets).join(parity, ["rep", "n"]).withColumn("was", F.lit(False))
             continue
-        y = m.filter("now").select("t", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+        y = m.filter("now").select("t", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"), F.col("comp").alias("cy"))
+        # similarity p needs sizes in that ratio, and at most (1 - p) / (1 + p) of
+        # both sizes in one set only
         alike = 100 * F.least("n", "ny") >= PERCENT * F.greatest("n", "ny")
-        pairs = m.join(y, "t").filter((F.col("comp") != F.col("cy")) & alike)
+        near = _apart("parity", "py") * (100 + PERCENT) <= (100 - PERCENT) * (F.col("n") + F.col("ny"))
+        pairs = m.join(y, "t").filter((F.col("comp") != F.col("cy")) & alike & near)
         pairs = pairs.select(F.greatest("rep", "y").alias("x"), F.least("rep", "y").alias("y")).distinct()
         pairs = materialize(pairs.join(tested, ["x", "y"], "left_anti"), "nd-pairs")
-        possible = materialize(_possible(pairs, sets), "nd-possible")
-        found = materialize(_linked(possible, sets), "nd-links")
+        found = materialize(_linked(pairs, sets), "nd-links")
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
             comps = components(comps.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found))
-        tables = m.select("t", "rep", "n", (F.col("was") | F.col("now")).alias("was"))
+        tables = m.select("t", "rep", "n", "parity", (F.col("was") | F.col("now")).alias("was"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
