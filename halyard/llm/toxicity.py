@@ -7,7 +7,10 @@ vectors let a pair of terms count more, or less, than its two linear weights.
 
 Fitting is bounded by two documented parameters. ``PER_CLASS`` labelled texts of
 each class (those whose doc_id hashes lowest) are read; terms are screened by the
-significance of their class difference, and at most ``MAX_TERMS`` are kept. Rows
+significance of their class difference, and at most ``MAX_TERMS`` are kept. The
+classes are counted over all labelled rows, and w0 is moved from the odds of the
+sample to theirs, so the bound does not raise the odds (a small one still leaves
+fewer terms and weaker weights). Rows
 whose crc32(doc_id) mod 4 is 2 are held out of it. Scoring covers whole texts of
 all rows and never sees labels, lang, source or doc_id.
 
@@ -135,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
     for c in (0, 1):
         rows = known.filter(F.col("toxic") == c).orderBy(pick, "doc_id").limit(per_class)
         sample = rows if sample is None else sample.unionByName(rows)
+    labelled = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     # at most 2 * per_class rows of 12 bytes: bounded whatever the corpus
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(materialize(sample, "tox-sample")), "doc_id")
     texts = materialize(texts.select("text", "toxic"), "tox-texts")
@@ -174,7 +178,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
 
     got = texts.mapInArrow(reduce, "toxic int, terms binary").toArrow()
     rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    return _train(terms, [(t, np.frombuffer(x, "<i2").astype(np.int64)) for t, x in rows])
+    model = _train(terms, [(t, np.frombuffer(x, "<i2").astype(np.int64)) for t, x in rows])
+    model.w0 -= _odds_shift(labelled, per_class)
+    return model
+
+
+def _odds_shift(labelled: dict[int, int], per_class: int) -> float:
+    """Log of the sample's odds over those of all labelled rows."""
+    rate = [min(labelled[c], per_class) / labelled[c] for c in (0, 1)]
+    return float(np.log(rate[1] / rate[0]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

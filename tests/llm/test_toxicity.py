@@ -32,6 +32,23 @@ def test_learns_pairs_beyond_linear_weights(spark):
     assert kept == {r["doc_id"] for r in out if not r["predicted"]}
 
 
+def test_class_bound_keeps_decisions(spark):
+    rng = np.random.default_rng(3)
+    filler = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(3000):  # with the word 15 % are toxic: below the threshold
+        toxic = i % 20 == 0
+        w = list(rng.choice(filler, 30)) + ["grumph"] * (toxic or i % 10 in (1, 2, 3))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, cut = ({r["doc_id"]: r for r in tx.score(docs, tx.fit(docs, known, per_class=n)).collect()} for n in (10_000, 80))
+    word = [i for i in range(3000) if "grumph" in rows[i][1]]
+    assert not any(whole[i]["predicted"] for i in word)
+    assert np.mean([cut[i]["predicted"] for i in word]) < 0.02
+    assert abs(np.mean([cut[i]["score"] for i in word]) - np.mean([whole[i]["score"] for i in word])) < 0.08
+
+
 def test_cases(spark):
     rows = [(1, None), (2, ""), (3, "idiot " * 50_000), (3, "idiot " * 50_000), (None, "calm words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
