@@ -7,10 +7,13 @@ matches dropped. They are found in time linear in the text.
 The field then labels further mentions. Its nodes are the base spans (whose
 labels are observed) and loose candidates outside them: runs of seven digits or
 more in any grouping, words with an at sign, and words equal to the local part of
-an address found in the document. Neighbouring nodes are joined by a chain edge;
-mentions of one thing anywhere in a document (equal text, equal digits, equal
-last seven digits, equal local part) by skip edges, each to the mention before
-it, so edges are linear in the nodes. Loopy belief propagation with damping runs
+an address found in the document (of six characters or more, a digit among them:
+shorter parts and plain words such as "info" are also other things' names).
+Neighbouring nodes are joined by a chain edge; mentions of one thing anywhere in a
+document (equal text, equal digits, equal last seven digits, equal local part) by
+skip edges, each to the mention before it and to the nearest base span, or the
+nearest mention with a way to one, so edges are linear in the nodes and a base span
+is as near to its hundredth repeat as to its first. Loopy belief propagation with damping runs
 over all documents of a batch at once, and a candidate whose probability of a
 kind passes ``CERTAIN`` becomes a span of that kind.
 
@@ -27,8 +30,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections import Counter
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -172,13 +177,26 @@ def nodes(text: str, spans: list, regions: list) -> list[tuple[int, int, int]]:
 def edges(text: str, ns: list[tuple[int, int, int]]) -> tuple[list, list]:
     """(chain, skip) pairs of node numbers."""
     chain = [(i, i + 1) for i in range(len(ns) - 1)]
-    seen: dict[str, int] = {}
-    skip = set()
-    for i, (s, e, label) in enumerate(ns):
-        for k in keys(text[s:e].rstrip("."), label - 1):
-            if k in seen and seen[k] != i:
-                skip.add((seen[k], i))
-            seen[k] = i
+    named: dict[str, list[int]] = {}
+    names = [set(keys(text[s:e].rstrip("."), label - 1)) for s, e, label in ns]
+    for i, ks in enumerate(names):
+        for k in ks:
+            named.setdefault(k, []).append(i)
+    skip = {p for same in named.values() for p in pairwise(same)}
+    reached = {i for i, n in enumerate(ns) if n[2]}
+    fresh, done = reached, set()
+    while fresh:  # a key at a time, from the base spans on
+        found = set()
+        for k in {k for i in fresh for k in names[i]} - done:
+            done.add(k)
+            near = [i for i in named[k] if i in reached]
+            for i in named[k]:
+                if i not in reached:
+                    at = bisect(near, i)
+                    j = min(near[max(at - 1, 0) : at + 1], key=lambda j: (abs(ns[j][0] - ns[i][0]), j))
+                    skip.add((min(i, j), max(i, j)))
+                    found.add(i)
+        reached, fresh = reached | found, found
     return chain, sorted(skip)
 
 

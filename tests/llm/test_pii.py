@@ -80,6 +80,25 @@ def test_distant_mentions_are_labelled(spark):
     assert sum(out[i]["n_added"] for i in range(400)) == 0
 
 
+def test_repeats_do_not_hide_the_base_span(spark):
+    for form, base in (("(743) 555-3824", "+1 (743) 555-3824"), ("user.4321", "user.4321@mail.example.com")):
+        side = f" then {form} again" * 30
+        t = f"first{side} and {base} now{side} end"
+        docs = spark.createDataFrame([*_corpus(), (1000, t, "x")], "doc_id long, text string, spans string")
+        r = pii.personal_data(docs).filter("doc_id = 1000").first()
+        assert r["n_added"] == 60 and r["n_phone"] + r["n_email"] == 1
+
+
+def test_edges_reach_every_mention():
+    t = "a 743 555 3824 " * 200 + "b +1 (743) 555-3824 c " + "d 5553824 " * 200
+    spans, regions = pii.base_spans(t)
+    ns = pii.nodes(t, spans, regions)
+    base = next(i for i, n in enumerate(ns) if n[2])
+    skip = pii.edges(t, ns)[1]
+    assert len(ns) == 401 and all((min(i, base), max(i, base)) in skip for i in range(len(ns)) if i != base)
+    assert len(skip) < 4 * len(ns)
+
+
 def test_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a@b.co", "x"), (3, "1" * 200_000, "x"), (4, "a" * 200_000 + "@", "x"), (4, "a@b.co " * 3000, "x"), (5, "1.2.3.4 " * 3000, "x")]
     out = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
