@@ -3,8 +3,10 @@
 Reading (any MPEG-1/2/2.5 stream, layers I to III): ID3v2 tags are parsed and
 skipped, frame headers are followed one by one, and after bytes that are no
 header the reader resynchronises on the next header that another of its kind (or
-the end) follows. Frame checksums are verified, Xing/Info and VBRI tables parsed
-(their frame counts and seek points), an ID3v1 tag at the end recognised.
+the end) follows. Checksums of layer III frames are verified (not those of layers I
+and II, whose protected bits depend on the allocation), Xing/Info and VBRI tables
+parsed (their frame counts and seek points), an ID3v1 tag at the end recognised
+unless a frame that is followed runs over its start and ends with another or the end.
 Durations are exact: samples over sample rate, not seconds in floating point;
 every frame's byte offset is a seek point.
 
@@ -123,6 +125,7 @@ class Stream:
     table: str = ""  # Xing, Info or VBRI
     table_frames: int = -1
     table_points: int = 0
+    table_entries: tuple[int, ...] = ()  # as stored
     checked: int = 0
     damaged: int = 0
 
@@ -167,11 +170,15 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
         if flags & 1:
             out.table_frames, p = int.from_bytes(data[p : p + 4]), p + 4
         p += 4 * bool(flags & 2)
-        out.table_points = 100 if flags & 4 else 0
+        if flags & 4:
+            out.table_points, out.table_entries = 100, tuple(data[p : p + 100])
         return True
     if data[at + 36 : at + 40] == b"VBRI" and len(data) >= at + 62:
         out.table, out.table_frames = "VBRI", int.from_bytes(data[at + 50 : at + 54])
         out.table_points = int.from_bytes(data[at + 54 : at + 56])
+        size = int.from_bytes(data[at + 58 : at + 60])
+        raw = data[at + 62 : min(at + 62 + out.table_points * size, at + h.length)]
+        out.table_entries = tuple(int.from_bytes(raw[i : i + size]) for i in range(0, len(raw) - size + 1, size)) if size else ()
         return True
     return False
 
@@ -179,26 +186,28 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
 def parse(data: bytes) -> Stream:
     """Reads a stream; see the module's text."""
     out, end = Stream(), len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+    v1 = end - 128 if end >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     at, synced, first = 0, None, True
     word = lambda p: int.from_bytes(data[p : p + 4])
     while at < end:
+        if at == v1:
+            out.tags["ID3v1"] = data[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1")
+            break
         if (tag := _id3v2(data, at, out)) > at:
             at = tag
             continue
         h = header(word(at)) if at + 4 <= end else None
         if h is None or at + h.length > end or synced and h.kind != synced:
             h = None
-        elif synced is None:  # a header counts once another of its kind follows it
+        elif synced is None or at < v1 < at + h.length:  # a header counts once another of its kind follows it
             nxt = at + h.length
             follows = header(word(nxt)) if nxt + 4 <= end else None
-            if not (nxt == end or follows and follows.kind == h.kind or data[nxt : nxt + 3] == b"ID3"):
+            if not (nxt in (v1, end) or follows and follows.kind == h.kind or data[nxt : nxt + 3] == b"ID3"):
                 h = None
         if h is None:
-            nxt = data.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
+            stop = v1 if at < v1 else end
+            nxt = data.find(b"\xff", at + 1, stop)
+            nxt = stop if nxt < 0 else nxt
             out.skipped += nxt - at
             at, synced = nxt, None
             continue

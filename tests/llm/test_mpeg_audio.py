@@ -84,3 +84,21 @@ def test_features(spark):
     assert ma.audio_features(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     seek = ma.parsed(ma.media_column(spark.createDataFrame(rows[:1], "doc_id long, text string, m string"))).first()
     assert len(seek["seek"]) == seek["n_frames"] == 1 and seek["seek"][0] > 626
+
+
+def test_tag_inside_a_unit_is_no_id3v1():
+    unit = b"a" * 475 + b"TAG" + b"b" * 98
+    data = ma.write(unit, 576)
+    s = ma.parse(data)
+    assert data[-128:-125] == b"TAG" and len(s.frames) == 1 and ma.payload(data, s) == unit and "ID3v1" not in s.tags
+    tagged = ma.parse(data + b"TAG" + b"Title".ljust(125, b"\0"))
+    assert (len(tagged.frames), tagged.skipped, tagged.tags["ID3v1"]) == (1, 0, "Title")
+    junk = ma.parse(data + b"junk" + b"TAG" + b"Title".ljust(125, b"\0"))
+    assert (len(junk.frames), junk.skipped, junk.tags["ID3v1"]) == (1, 4, "Title")
+
+
+def test_table_entries_are_read():
+    assert ma.parse(ma.write(bytes(576), 576)).table_entries == tuple(i * 256 // 100 for i in range(100))
+    f = bytearray(frame())
+    f[36:68] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 0, 9, 3, 1, 2, 4) + struct.pack(">HHH", 300, 5, 70)
+    assert ma.parse(bytes(f) + frame() + frame()).table_entries == (300, 5, 70)
