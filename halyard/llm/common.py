@@ -29,25 +29,61 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. What no :func:`discard` deletes (tables that
+    a result reads lazily) goes when the driver's file systems close."""
+    path = f"{shared_dir(spark).rstrip('/')}/halyard/{name}-{uuid.uuid4().hex}"
+    system, target = _located(spark, path)
+    system.mkdirs(target.getParent())
+    system.deleteOnExit(target)
+    return path
+
+
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a
     lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/halyard/{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._halyard_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table written by :func:`materialize` that no later plan reads."""
-    path = getattr(df, "_halyard_path", None)
-    if path is None:
-        return
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """:func:`materialize`, dealt and sorted by ``key``: later joins by it move
+    only their other side."""
     spark = df.sparkSession
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    path, table = _new_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key).sortWithinPartitions(key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._halyard_path, out._halyard_table = path, table
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by :func:`materialize` that no later plan reads."""
+    for df in tables:
+        path, table = getattr(df, "_halyard_path", None), getattr(df, "_halyard_table", None)
+        if table is not None:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        if path is not None:
+            system, target = _located(df.sparkSession, path)
+            system.delete(target, True)
+
+
+def fresh_name(stem: str, columns: list[str]) -> str:
+    """A column name that no column has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
 
 def ascii_lower(col: Column) -> Column:

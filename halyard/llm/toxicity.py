@@ -5,12 +5,20 @@ of a text. Terms are the words (runs of letters and digits, A-Z lower-cased) and
 the four-byte stems of words of six bytes or more, hashed to 32 bits. The factor
 vectors let a pair of terms count more, or less, than its two linear weights.
 
-Fitting is bounded by two documented parameters. ``PER_CLASS`` labelled texts of
-each class (those whose doc_id hashes lowest) are read; terms are screened by the
-significance of their class difference, and at most ``MAX_TERMS`` are kept. The
-classes are counted over all labelled rows, and w0 is moved from the odds of the
-sample to theirs, so the bound does not raise the odds (a small one still leaves
-fewer terms and weaker weights). Rows
+Fitting is bounded by one documented parameter: ``PER_CLASS`` labelled texts of
+each class (those whose doc_id hashes lowest) are read. The classes are counted
+over all labelled rows, and w0 is moved from the odds of the sample to theirs, so
+the bound does not raise the odds. A term enters the machine in one of two ways:
+
+* alone, if the classes differ in its share by ``MIN_Z`` standard errors;
+* by an interaction: what the terms that entered alone leave unexplained, summed
+  over the texts that hold both terms of a pair, is ``MIN_PAIR_Z`` standard errors
+  from none. All pairs of terms in a share of the sample between ``PAIR_SHARE`` and
+  its complement are tested, by blocks of one matrix product, so a word that tells
+  nothing alone is found with its partner. Pairs found set the factor vectors that
+  training starts from.
+
+Everything that enters is fitted together, linear weights and factors. Rows
 whose crc32(doc_id) mod 4 is 2 are held out of it. Scoring covers whole texts of
 all rows and never sees labels, lang, source or doc_id.
 
@@ -31,14 +39,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import materialize
+from .common import discard, materialize
 
 #: Labelled texts read of each class, at most.
 PER_CLASS = 10_000
-#: Screened terms, at most.
-MAX_TERMS = 8192
-#: Least significance (difference of class shares over its standard error).
-MIN_Z = 5.0
+#: Least significance of a term (difference of class shares over its standard
+#: error) and of a pair.
+MIN_Z, MIN_PAIR_Z = 5.0, 7.0
+#: Terms of pairs are in this share of the sample at least, and at most in all but
+#: this share: rarer ones meet too seldom for a pair to be told from chance.
+PAIR_SHARE = 1 / 64
+#: Terms on a side of a block of pairs.
+TILE = 512
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -96,12 +108,41 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _train(terms: np.ndarray, rows: list[tuple[int, np.ndarray]], epochs: int = 30, l2: float = 2e-4, seed: int = 7) -> Model:
-    """Adagrad on the logistic loss, in mini-batches of a fixed order."""
+def interactions(y: np.ndarray, p: np.ndarray, texts: list[np.ndarray], n_terms: int, min_z: float = MIN_PAIR_Z) -> list[tuple[int, int, float]]:
+    """(a, b, z) of the pairs a < b of terms for which the labels ``y`` less their
+    probabilities ``p``, summed over the texts with both, are ``min_z`` standard
+    errors from none, the strongest first."""
+    has = np.zeros((n_terms, len(texts)), bool)
+    for k, t in enumerate(texts):
+        has[t, k] = True
+    out = []
+    for i in range(0, n_terms, TILE):
+        a = has[i : i + TILE].astype(np.float32)
+        pull, spread = a * (y - p).astype(np.float32), a * (p * (1 - p)).astype(np.float32)
+        for j in range(i, n_terms, TILE):
+            b = has[j : j + TILE].astype(np.float32).T
+            z = (pull @ b) / np.sqrt(spread @ b + np.float32(1e-6))
+            r, c = np.nonzero(np.abs(z) >= min_z)
+            out += [(x, w, float(v)) for x, w, v in zip((r + i).tolist(), (c + j).tolist(), z[r, c].tolist(), strict=True) if x < w]
+    return sorted(out, key=lambda r: (-abs(r[2]), r[0], r[1]))
+
+
+def _train(terms: np.ndarray, rows: list[tuple[int, np.ndarray]], pairs: list[tuple[int, int, float]] = (), epochs: int = 30, l2: float = 2e-4, seed: int = 7) -> Model:
+    """Adagrad on the logistic loss, in mini-batches of a fixed order. Terms of a
+    pair start on one factor, alike or opposed as the pair's sign says."""
     rng = np.random.default_rng(seed)
     y = np.array([r[0] for r in rows], float)
     rate = y.mean()
     m = Model(terms, float(np.log(rate / (1 - rate))), np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), FACTORS)))
+    begun: dict[int, int] = {}
+    for a, b, z in pairs:
+        if a not in begun and b not in begun:
+            begun[a] = begun[b] = f = len(begun) // 2 % FACTORS
+            m.v[a, f], m.v[b, f] = 0.5, 0.5 * np.sign(z)
+        elif (a in begun) != (b in begun):
+            known, other = (a, b) if a in begun else (b, a)
+            begun[other] = f = begun[known]
+            m.v[other, f] = np.sign(z) * m.v[known, f]
     size = np.array([len(r[1]) for r in rows])
     ends = np.cumsum(size)
     flat = np.concatenate([r[1] for r in rows]) if len(rows) else np.empty(0, np.int64)
@@ -130,7 +171,7 @@ def _train(terms: np.ndarray, rows: list[tuple[int, np.ndarray]], epochs: int =
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_terms: int = MAX_TERMS, min_z: float = MIN_Z) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, min_z: float = MIN_Z, min_pair_z: float = MIN_PAIR_Z) -> Model:
     """Fit on labelled texts outside the held-out fold."""
     known = labels.filter(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     pick = F.xxhash64("doc_id")
@@ -140,12 +181,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
         sample = rows if sample is None else sample.unionByName(rows)
     labelled = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     # at most 2 * per_class rows of 12 bytes: bounded whatever the corpus
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(materialize(sample, "tox-sample")), "doc_id")
+    sample = materialize(sample, "tox-sample")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     texts = materialize(texts.select("text", "toxic"), "tox-texts")
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     empty = np.empty(0, np.uint64)
     if not pos or not neg:
+        discard(sample, texts)
         return Model(empty, 35.0 if pos else -35.0, np.empty(0), np.empty((0, FACTORS)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
     counts = texts.mapInArrow(count, "term long, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     share = (F.col("p") + F.col("n")) / F.lit(float(pos + neg))
     z = F.abs(F.col("p") / F.lit(float(pos)) - F.col("n") / F.lit(float(neg))) / F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg) + F.lit(1e-12))
-    chosen = counts.filter(F.col("p") + F.col("n") >= 3).withColumn("z", z).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "term").limit(max_terms).select("term").toArrow()
-    terms = np.sort(chosen.column(0).to_numpy().astype(np.uint64))
+    alone, paired = z >= min_z, share.between(PAIR_SHARE, 1 - PAIR_SHARE)
+    got = counts.select("term", alone.alias("alone"), paired.alias("paired")).filter("alone OR paired").orderBy("term").toArrow()
+    terms, alone, paired = (got.column(c).to_numpy() for c in range(3))
+    terms = terms.astype(np.uint64)
     blank = Model(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), FACTORS)))
 
     def reduce(batches):
@@ -173,16 +218,44 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_term
             for i, j in K.blocks(offsets):
                 text, term = blank.active(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 cut = np.searchsorted(text, np.arange(j - i + 1))
-                packed = [term[cut[k] : cut[k + 1]].astype("<i2").tobytes() for k in range(j - i)]
+                packed = [term[cut[k] : cut[k + 1]].astype("<i4").tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.array(packed, pa.binary())], ["toxic", "terms"])
 
     got = texts.mapInArrow(reduce, "toxic int, terms binary").toArrow()
+    discard(sample, texts)
     rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    model = _train(terms, [(t, np.frombuffer(x, "<i2").astype(np.int64)) for t, x in rows])
+    rows = [(t, np.frombuffer(x, "<i4")) for t, x in rows]
+    model = _fitted(terms, alone, paired, rows, min_pair_z)
     model.w0 -= _odds_shift(labelled, per_class)
     return model
 
 
+def _fitted(terms: np.ndarray, alone: np.ndarray, paired: np.ndarray, rows: list[tuple[int, np.ndarray]], min_pair_z: float) -> Model:
+    """Terms alone, then pairs in their residuals, then all of them together."""
+    first = _train(*_narrow(terms, rows, alone))
+    at = np.cumsum(alone) - 1
+    active = [at[t[alone[t]]] for _, t in rows]
+    text = np.repeat(np.arange(len(rows)), [len(t) for t in active])
+    y = np.array([r[0] for r in rows], float)
+    p = _sigmoid(first.logits(text, np.concatenate(active), len(rows)))
+    open_, within = _narrow(terms, rows, paired)
+    pairs = interactions(y, p, [t for _, t in within], len(open_), min_pair_z)
+    if not pairs:
+        return first
+    place = np.flatnonzero(paired)
+    pairs = [(int(place[a]), int(place[b]), z) for a, b, z in pairs]
+    enter = alone.copy()
+    for a, b, _ in pairs:
+        enter[a] = enter[b] = True
+    at = np.cumsum(enter) - 1
+    return _train(*_narrow(terms, rows, enter), [(int(at[a]), int(at[b]), z) for a, b, z in pairs])
+
+
+def _narrow(terms: np.ndarray, rows: list[tuple[int, np.ndarray]], keep: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    at = np.cumsum(keep) - 1
+    return terms[keep], [(y, at[t[keep[t]]].astype(np.int64)) for y, t in rows]
+
+
 def _odds_shift(labelled: dict[int, int], per_class: int) -> float:
     """Log of the sample's odds over those of all labelled rows."""
     rate = [min(labelled[c], per_class) / labelled[c] for c in (0, 1)]

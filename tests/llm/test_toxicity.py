@@ -1,7 +1,9 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
+from halyard.llm import kernel as K
 from halyard.llm import toxicity as tx
 
 DATA = "/root/testdata/sf0.1"
@@ -32,6 +34,57 @@ def test_learns_pairs_beyond_linear_weights(spark):
     assert kept == {r["doc_id"] for r in out if not r["predicted"]}
 
 
+def test_learns_a_pair_whose_terms_tell_nothing_alone(spark):
+    rng = np.random.default_rng(11)
+    rows, labels = [], []
+    for i in range(4000):  # toxic with both of two words or neither
+        a, b = rng.integers(0, 2, 2)
+        w = list(rng.choice([f"w{k}" for k in range(200)], 30)) + ["grumph"] * a + ["zorgs"] * b
+        rows.append((i, " ".join(rng.permutation(w))))
+        labels.append((i, int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = tx.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [r for r in tx.score(docs, model).collect() if r["held_out"]]
+    assert 2 <= len(model.terms) < 20
+    assert np.mean([r["predicted"] == labels[r["doc_id"]][1] for r in held]) > 0.95
+
+
+def test_pairs_found_equal_a_plain_count():
+    rng = np.random.default_rng(4)
+    texts = [np.unique(rng.integers(0, 30, 8)) for _ in range(400)]
+    y = np.array([int(3 in t and 7 in t or rng.random() < 0.2) for t in texts], float)
+    p = np.full(len(y), y.mean())
+    want = {}
+    for a in range(30):
+        for b in range(a + 1, 30):
+            both = [k for k, t in enumerate(texts) if a in t and b in t]
+            z = (y[both] - p[both]).sum() / np.sqrt((p[both] * (1 - p[both])).sum() + 1e-6)
+            if abs(z) >= 2:
+                want[a, b] = z
+    old, tx.TILE = tx.TILE, 7
+    try:
+        got = tx.interactions(y, p, texts, 30, 2)
+    finally:
+        tx.TILE = old
+    assert {(a, b) for a, b, _ in got} == set(want) and all(abs(want[a, b] - z) < 1e-3 for a, b, z in got)
+    assert got[0][:2] == (3, 7)
+
+
+def test_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(6)
+    vocab = [f"term{i}" for i in range(12)]
+    raw, offsets = K.text_bytes(pa.array(vocab))
+    hashes = np.unique(tx.term_hashes(raw, offsets)[0])
+    m = tx.Model(hashes, 0.3, rng.normal(size=len(hashes)), rng.normal(size=(len(hashes), tx.FACTORS)))
+    texts = [" ".join(rng.choice(vocab, 6)) for _ in range(30)] + ["", "other words"]
+    raw, offsets = K.text_bytes(pa.array(texts))
+    for t, s in zip(texts, m.scores(raw, offsets), strict=True):
+        own = K.text_bytes(pa.array([t]))
+        on = [i for i, h in enumerate(hashes) if h in tx.term_hashes(*own)[0]]
+        z = m.w0 + sum(m.w[i] for i in on) + sum(m.v[i] @ m.v[j] for i in on for j in on if i < j)
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_class_bound_keeps_decisions(spark):
     rng = np.random.default_rng(3)
     filler = [f"w{i}" for i in range(300)]
