@@ -19,12 +19,14 @@ tables. A pair of similarity s shares a table with probability
    or already joined. A member meets about ``WHOLE`` pivots of a table in a round
    (more in later rounds, which few tables reach), whatever the table's size.
    Larger tables still open after two rounds hold mostly unlike members (texts that
-   share a common line); they are replaced by tables of their members' rarest
-   shingles, one of which any similar pair shares.
+   share a common line); they are split, without loss, by their members' rarest
+   shingles, one of which any similar pair shares. A pair is a candidate only if
+   it shares a table of the banding, in the split ones too.
 4. Components by alternating large-star and small-star steps.
 
 Everything is a table in the shared folder; no documents, links or components
-are collected. A table, class or component of any size is aggregated with
+are collected. Texts are dealt once, by doc_id; the sets made of them lie in
+buckets, so that rounds move pairs, and of each pair one set. A table, class or component of any size is aggregated with
 map-side combining and joined by keys that adaptive execution can split.
 
 Defined cases: a text without words has an empty set, links with nothing and is
@@ -42,10 +44,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import discard, materialize
+from .common import bucketed, discard, fresh_name, materialize
 
 SHINGLE = 5
-#: 100 * intersection >= PERCENT * union
+#: 100 * intersection >= PERCENT * union, unless the caller says otherwise.
 PERCENT = 85
 #: Sub-keys in each of the two collections.
 SIDE = 8
@@ -112,7 +114,8 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(before), pa.int64()), bits, lists], ["doc_id", "n", "parity", "set"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, parity array<long>, set array<long>")
+    # the only time that texts move, and alike at every size
+    return d.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, parity array<long>, set array<long>")
 
 
 def parities(values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
@@ -130,8 +133,9 @@ def _apart(x: str, y: str):
     return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose full sets are similar enough."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose full sets are similar enough. Sets lie dealt by
+    doc_id, so the pairs go to them first, then with one set each to the other."""
 
     def run(batches):
         for b in batches:
@@ -140,18 +144,19 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for k in range(b.num_rows):
                 a, c = xs[xo[k] : xo[k + 1]], ys[yo[k] : yo[k + 1]]
                 both = len(np.intersect1d(a, c, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= PERCENT * (len(a) + len(c) - both))
+                keep.append(both > 0 and 100 * both >= percent * (len(a) + len(c) - both))
             kept = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:2], ["x", "y"])
 
-    # sets of documents in no pair are left behind before sets are dealt by id;
-    # while the ids are few, Spark's size-checked broadcast does it without a shuffle
-    ids = materialize(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "nd-ids")
-    some = sets.select("doc_id", "set").join(ids, "doc_id", "left_semi")
-    x = some.select(F.col("doc_id").alias("x"), F.col("set").alias("set_x"))
-    y = some.select(F.col("doc_id").alias("y"), F.col("set").alias("set_y"))
-    both = pairs.join(x, "x").join(y, "y").select("x", "y", "set_x", "set_y")
-    return both.mapInArrow(run, "x long, y long").distinct()
+    # a pivot may be in very many pairs: those go to as many copies of its set as needed
+    per = pairs.groupBy("y").agg(F.ceil(F.count("*") / CROWD).alias("copies"))
+    hot = materialize(per.filter("copies > 1"), "nd-hot")
+    x = sets.select(F.col("doc_id").alias("x"), F.col("set").alias("set_x"))
+    salted = pairs.join(hot, "y", "left").withColumn("salt", F.pmod(F.xxhash64("x"), F.coalesce("copies", F.lit(1))))
+    y = sets.join(per.withColumnRenamed("y", "doc_id").hint("merge"), "doc_id")
+    y = y.select(F.col("doc_id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.col("set").alias("set_y"))
+    both = salted.select("x", "y", "salt").hint("merge").join(x, "x").hint("merge").join(y, ["y", "salt"])
+    return both.select("x", "y", "set_x", "set_y").mapInArrow(run, "x long, y long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,20 +178,25 @@ def components(edges: DataFrame) -> DataFrame:
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
         loose = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).filter("ups > 1 OR (ups = 1 AND root = 0)")
         if loose.isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            named = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            named._halyard_path = e._halyard_path
+            return named
 
 
 def _tables(reps: DataFrame) -> DataFrame:
     """(t, rep, n): the members of each table with at least two, every set of
     members once."""
-    keys = F.array(*[F.struct(F.lit(s // SIDE).alias("side"), F.xxhash64(F.lit(s), F.col(f"k{s}")).alias("k")) for s in range(2 * SIDE)])
-    rows = reps.select("rep", "n", F.explode(keys).alias("e")).select("rep", "n", "e.side", "e.k")
+    rows = reps.select("rep", "n", F.explode(_sub_keys()).alias("e")).select("rep", "n", "e.side", "e.k")
     shared = rows.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k")
     live = rows.join(shared, "k").groupBy("rep", "n").agg(*[F.collect_list(F.when(F.col("side") == s, F.col("k"))).alias(f"side{s}") for s in (0, 1)])
     pairs = F.flatten(F.transform("side0", lambda a: F.transform("side1", lambda b: F.xxhash64(a, b))))
     return _once(live.select("rep", "n", F.explode(pairs).alias("t")))
 
 
+def _sub_keys():
+    return F.array(*[F.struct(F.lit(s // SIDE).alias("side"), F.xxhash64(F.lit(s), F.col(f"k{s}")).alias("k")) for s in range(2 * SIDE)])
+
+
 def _once(keyed: DataFrame) -> DataFrame:
     """The rows of tables with two members or more; of tables with the same
     members one is kept."""
@@ -198,44 +208,61 @@ def _once(keyed: DataFrame) -> DataFrame:
     return members
 
 
-def _prefix_tables(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _prefix_tables(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Splits tables whose members are mostly unlike each other, without loss.
 
     Two sets that are similar enough share one of their rarest shingles: with
     the shingles of each set ordered by frequency, one of the first
-    ``n - ceil(n * PERCENT / 100) + 1``. Those shingles key the new tables."""
+    ``n - ceil(n * percent / 100) + 1``. Those shingles key the parts."""
     ids = members.select(F.col("rep").alias("doc_id"), "n").distinct()
-    rows = sets.join(ids, ["doc_id", "n"]).select(F.col("doc_id").alias("rep"), "n", F.explode("set").alias("t"))
+    rows = sets.join(ids.hint("merge"), ["doc_id", "n"]).select(F.col("doc_id").alias("rep"), "n", F.explode("set").alias("t"))
     often = rows.groupBy("t").agg(F.count("*").alias("often"))
-    place = F.row_number().over(W.partitionBy("rep").orderBy("often", "t"))
+    place = F.row_number().over(W.partitionBy("rep", "n").orderBy("often", "t"))
     ranked = rows.join(often, "t").withColumn("place", place)
-    need = F.floor((F.col("n") * PERCENT + 99) / 100)
+    need = F.floor((F.col("n") * percent + 99) / 100)
     return _once(ranked.filter((F.col("place") <= F.col("n") - need + 1) & (F.col("often") > 1)).select("rep", "n", "t"))
 
 
+def _banded(x: str, y: str):
+    """Two members share a table of the banding: a sub-key on either side."""
+    sides = [F.arrays_overlap(F.slice(x, 1 + s * SIDE, SIDE), F.slice(y, 1 + s * SIDE, SIDE)) for s in (0, 1)]
+    return sides[0] & sides[1]
+
+
 #: In the first round a table has one pivot. Later on, tables with up to WHOLE
 #: members that were none yet make pivots of all of them. Larger ones are split by
 #: their members' rarest shingles after the second round, and then have about
 #: WHOLE pivots, chosen by hash, and GROWTH times as many each round after.
 WHOLE, GROWTH, SPLIT_AT = 16, 4, 2
+#: Bytes of sets in a bucket, about, and buckets at most.
+BUCKET_BYTES, BUCKETS = 16 << 20, 100_000
+#: Pairs of a pivot that go to one copy of its set, about.
+CROWD = 256
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the classes that are not their component's smallest."""
     spark = docs.sparkSession
-    tables = _tables(reps)
-    sets = materialize(_sets(docs, tables.select(F.col("rep").alias("doc_id")).distinct()), "nd-sets")
-    parity = sets.select(F.col("doc_id").alias("rep"), "n", "parity")
-    tables = tables.join(parity, ["rep", "n"]).withColumn("was", F.lit(False))
+    first_tables = tables = _tables(reps)
+    ids = tables.select("rep", "n").distinct()
+    volume = (ids.agg(F.sum("n")).first()[0] or 0) * 8
+    buckets = min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // BUCKET_BYTES)))
+    sets = bucketed(_sets(docs, ids.select(F.col("rep").alias("doc_id")).distinct()), "nd-sets", "doc_id", buckets)
+    # what a member carries into pairs: its parities, and its sub-keys in the order of the collections
+    carried = sets.select(F.col("doc_id").alias("rep"), "n", "parity")
+    carried = carried.join(reps.select("rep", "n", F.transform(_sub_keys(), lambda e: e["k"]).alias("keys")), ["rep", "n"])
+    carried = materialize(carried, "nd-carried")
+    tables = tables.join(carried, ["rep", "n"]).withColumn("was", F.lit(False))
     comps = spark.range(0).selectExpr("id AS node", "id AS component")
     tested = spark.range(0).selectExpr("id AS x", "id AS y")
-    turn, picks = 0, WHOLE
+    turn, picks, past = 0, WHOLE, [first_tables]
     while True:
-        m = tables.join(comps, tables["rep"] == comps["node"], "left").select("t", "rep", "n", "parity", "was", F.coalesce("component", "rep").alias("comp"))
+        m = tables.join(comps, tables["rep"] == comps["node"], "left").select("t", "rep", "n", "parity", "keys", "was", F.coalesce("component", "rep").alias("comp"))
         fresh = F.when(~F.col("was"), F.col("rep"))
         state = m.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(fresh).alias("left"), F.min(fresh).alias("first"))
         state = materialize(state.filter("low < high AND left > 1").select("t", "left", "first"), "nd-open")
         if state.isEmpty():
+            discard(state, sets, carried, *past)
             return comps
         chosen = F.col("rep") == F.col("first")
         if turn == 1:
@@ -243,35 +270,42 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         elif turn > SPLIT_AT:
             chosen |= F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("left") / picks)) == 0
             picks *= GROWTH
-        m = m.join(state, "t").select("t", "rep", "n", "parity", "was", "comp", (~F.col("was") & chosen).alias("now"))
+        m = m.join(state, "t").select("t", "rep", "n", "parity", "keys", "was", "comp", (~F.col("was") & chosen).alias("now"))
         m = materialize(m, "nd-split")
+        discard(state, *past)
+        past = [m]
         turn += 1
         if turn == SPLIT_AT + 1:
-            tables = _prefix_tables(m, sets).join(parity, ["rep", "n"]).withColumn("was", F.lit(False))
+            parts = _prefix_tables(m, sets, percent)
+            past.append(parts)
+            tables = parts.join(carried, ["rep", "n"]).withColumn("was", F.lit(False))
             continue
-        y = m.filter("now").select("t", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"), F.col("comp").alias("cy"))
+        y = m.filter("now").select("t", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"), F.col("keys").alias("ky"), F.col("comp").alias("cy"))
         # similarity p needs sizes in that ratio, and at most (1 - p) / (1 + p) of
         # both sizes in one set only
-        alike = 100 * F.least("n", "ny") >= PERCENT * F.greatest("n", "ny")
-        near = _apart("parity", "py") * (100 + PERCENT) <= (100 - PERCENT) * (F.col("n") + F.col("ny"))
-        pairs = m.join(y, "t").filter((F.col("comp") != F.col("cy")) & alike & near)
+        alike = 100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")
+        near = _apart("parity", "py") * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("ny"))
+        pairs = m.join(y, "t").filter((F.col("comp") != F.col("cy")) & alike & near & _banded("keys", "ky"))
         pairs = pairs.select(F.greatest("rep", "y").alias("x"), F.least("rep", "y").alias("y")).distinct()
         pairs = materialize(pairs.join(tested, ["x", "y"], "left_anti"), "nd-pairs")
-        found = materialize(_linked(pairs, sets), "nd-links")
+        found = materialize(_linked(pairs, sets, percent), "nd-links")
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
-            comps = components(comps.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found))
-        tables = m.select("t", "rep", "n", "parity", (F.col("was") | F.col("now")).alias("was"))
+            joined = components(comps.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found))
+            discard(comps)
+            comps = joined
+        discard(found)
+        tables = m.select("t", "rep", "n", "parity", "keys", (F.col("was") | F.col("now")).alias("was"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     sigs = materialize(_signatures(docs), "nd-signatures")
     some = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     one = ["d1", "d2", "n_shingles"]
     reps = some.groupBy(*one).agg(F.min("doc_id").alias("rep"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(2 * SIDE)])
     reps = materialize(reps.withColumn("n", F.col("n_shingles")), "nd-classes")
-    comps = links(docs, reps)
+    comps = links(docs, reps, percent)
     named = reps.select(*one, "rep").join(comps, F.col("rep") == F.col("node"), "left").select(*one, F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", *one).join(named.select(*[F.col(c).alias(f"_{c}") for c in one], "component_id"), [F.col(c) == F.col(f"_{c}") for c in one], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
@@ -279,8 +313,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one of the smallest doc_id, with all
-    columns; rows without a doc_id stay."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    columns, whatever their names; rows without a doc_id stay."""
+    gone = fresh_name("gone", docs.columns)
+    dropped = near_duplicates(docs.select("doc_id", "text"), percent).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

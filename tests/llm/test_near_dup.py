@@ -78,6 +78,22 @@ def test_drop_keeps_one_of_each(spark):
     assert out.columns == df.columns and sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 2, 7, None]
 
 
+def test_threshold_is_a_parameter(spark):
+    words = [f"w{i}" for i in range(104)]
+    edited = [*words[:50], "x", *words[51:]]  # 100 shingles each, 95 in both: 95 / 105
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited))], "doc_id long, text string")
+    kept = lambda p: nd.near_duplicates(df, p).filter("kept").count()
+    assert (kept(90), kept(91)) == (1, 2)
+
+
+def test_drop_takes_any_column_names(spark):
+    names = ["gone", "Gone_", "_gone", "rep", "n", "t", "x", "y", "kept", "component_id", "parity", "keys"]
+    rows = [(i, "a b c d e f", *names) for i in (2, 1)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = nd.drop_near_duplicates(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [rows[1]]
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i != 30] + [(100, 90), (90, 100)]
     comps = dict(nd.components(spark.createDataFrame(edges, "x long, y long")).collect())
