@@ -83,3 +83,66 @@ def test_longest_match(spark):
     d = spark.createDataFrame([(1, f"x {passage} y"), (2, passage[: passage.index(" w20")])], "doc_id long, text string")
     b = spark.createDataFrame([(1, passage)], "item_id long, text string")
     assert {r["doc_id"]: r["longest_match"] for r in dc.contamination(d, b).collect()} == {1: 30, 2: 20}
+
+
+def longest_common(doc, items):
+    """(words, place in the text) of the longest match of a window or more."""
+    best = (0, 0)
+    w = words(doc)
+    for _, t in items:
+        v = words(t)
+        least = min(13, len(v))
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n >= least and n > 0:
+                    best = max(best, (n, -i))
+    return best[0], -best[1] if best[0] else None
+
+
+def test_longest_match_across_repeated_passages(spark):
+    w = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(w[:20])), (2, " ".join(w[4:30])), (3, " ".join(w[10:23]))]
+    docs = [(1, "x y " + " ".join(w[4:30]) + " z"), (2, " ".join(w[:13])), (3, " ".join(w[1:12])), (4, " ".join(w[4:30] + w[:20]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for part in (dc.PART_BYTES, 60):
+        got = {r["doc_id"]: (r["longest_match"], r["longest_start"]) for r in dc.contamination(d, b, part).collect()}
+        assert got == {1: (26, 2), 2: (13, 0), 3: (0, None), 4: (26, 0)}
+        found = sorted(tuple(r) for r in dc.matches(d, b, part).collect() if r["doc_id"] == 1)
+        assert found == [(1, "1", 2, 4, 16), (1, "2", 2, 0, 26), (1, "3", 8, 0, 13)]
+
+
+def test_longest_match_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(rng.choice(["a", "b", "c"], n))
+    items = [(i, text(int(n))) for i, n in enumerate([40, 25, 13, 20, 6])]
+    items.append((9, items[0][1]))
+    docs = [(i, text(20) + " " + items[i % 4][1][int(rng.integers(0, 20)) :] + " " + text(9)) for i in range(20)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["longest_match"], r["longest_start"]) for r in dc.contamination(d, b).collect()}
+    assert got == {i: longest_common(t, items) for i, t in docs}
+
+
+@given(st.lists(st.integers(1, 6), min_size=1, max_size=30), st.integers(1, 9))
+def test_chunks_never_divide_a_text(pairs, most):
+    text = np.sort(np.random.default_rng(len(pairs)).integers(0, 6, len(pairs)))
+    old, dc.PAIRS = dc.PAIRS, most
+    try:
+        got = list(dc._chunks(np.array(pairs), text))
+    finally:
+        dc.PAIRS = old
+    assert [x for i, j in got for x in range(i, j)] == list(range(len(pairs)))
+    assert all(text[j - 1] != text[j] for _, j in got[:-1])
+
+
+def test_any_match_and_any_column_names(spark):
+    names = ["hit", "HIT_", "items", "longest", "n_words", "n_hit", "_hit", "_n_hit"]
+    window = " ".join(f"q{i}" for i in range(13))
+    rows = [(1, "word " * 5000 + window, *names), (2, "word " * 50, *names), (None, None, *names)]
+    d = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    b = spark.createDataFrame([(1, window)], "item_id long, text string")
+    for share, want in ((dc.HIT_SHARE, rows), (None, rows[1:])):
+        out = dc.drop_contaminated(d, b, share=share)
+        assert out.columns == d.columns and sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
