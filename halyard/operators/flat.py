@@ -19,8 +19,11 @@ from pyspark.sql import types as T
 from ..functions import metrics
 from ..model import Metric
 
-#: Queries of a batch beyond this many bytes are joined in blocks.
-QUERY_BLOCK_BYTES = 16 << 20
+#: Bytes of queries that meet a batch of vectors at once, and that one scan of the
+#: vectors carries along (more take another scan each).
+QUERY_BLOCK_BYTES, QUERY_SCAN_BYTES = 16 << 20, 256 << 20
+#: Error of a matrix product's entry, for its operands' lengths, at most.
+PRODUCT_ERROR = 1e-5
 
 
 def best_first(score: str = "score") -> list[Column]:
@@ -65,7 +68,8 @@ def batch_search(vectors: DataFrame, query: Sequence[float], k: int, metric: Met
 
 
 def sequential_scores(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
-    """Scores of the columns of ``x``, accumulated component by component."""
+    """Scores of the columns of ``x``, accumulated component by component. ``q`` is
+    one query or has a column for each of ``x``."""
     dot, own, far, qq = (np.zeros(x.shape[1], np.float32) for _ in range(4))
     for row, y in zip(x, q, strict=True):
         if metric is Metric.EUCLIDEAN:
@@ -83,58 +87,82 @@ def sequential_scores(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarra
     return np.divide(dot, norm, out=np.zeros_like(dot), where=norm != 0)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: Metric, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: Metric, block_bytes: int = QUERY_BLOCK_BYTES, scan_bytes: int = QUERY_SCAN_BYTES) -> DataFrame:
     """qid, id, score, rank of the k best vectors of every query (qid, vector).
 
     A stated query set is held against all vectors in blocks of bounded size:
-    each Arrow batch of vectors meets a block in one matrix product and keeps
-    its k best for each query, so what is shuffled is k rows per query and
-    batch. Scores are single-precision products; equal scores rank by id.
+    each Arrow batch of vectors meets a block in one matrix product, which leaves
+    out what can't be among its k best; the rest is scored as a search does, bit
+    for bit, and the k best go on, equal scores by id. So what is shuffled is k
+    rows per query and batch, and results are those of single searches.
     """
     q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<float>").alias("vector"))
     size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector") * 4 + 8), F.lit(0)).alias("b")).first()
-    n_blocks = max(1, -(-int(size["b"]) // block_bytes))
+    n_scans = max(1, -(-int(size["b"]) // scan_bytes))
     out = None
-    for block in range(n_blocks):
-        part = q if n_blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == block)
+    for scan in range(n_scans):
+        part = q if n_scans == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_scans)) == scan)
         t = part.toArrow()
         qid = t.column(0).to_numpy()
         matrix = np.array(t.column(1).to_pylist(), np.float32).reshape(len(qid), -1 if len(qid) else 0)
-        found = vectors.select("id", "vector").mapInArrow(_scorer(vectors, qid, matrix, k, metric), "qid long, id long, score float")
+        found = vectors.select("id", "vector").mapInArrow(_scorer(vectors, qid, matrix, k, metric, block_bytes), "qid long, id long, score float")
         out = found if out is None else out.unionByName(found)
     place = F.row_number().over(W.partitionBy("qid").orderBy(*best_first()))
     return out.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k)
 
 
-def _scorer(df: DataFrame, qid: np.ndarray, matrix: np.ndarray, k: int, metric: Metric):
+def _scorer(df: DataFrame, qid: np.ndarray, matrix: np.ndarray, k: int, metric: Metric, block_bytes: int):
     shared = df.sparkSession.sparkContext.broadcast((qid, matrix))
+    step = max(1, block_bytes // (4 * max(1, matrix.shape[1])))
 
     def run(batches):
         qid, q = shared.value
-        qn = np.sqrt((q * q).sum(axis=1))
         for b in batches:
-            if not b.num_rows or not len(qid):
+            if not b.num_rows or not k:
                 continue
             ids = b.column(0).to_numpy()
             x = b.column(1).flatten().to_numpy().reshape(len(ids), -1).astype(np.float32)
-            s = scores(x, q, qn, metric)
-            keep = min(k, len(ids))
-            # ties at the boundary all stay, so that ids decide among them later
-            cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1] if keep else np.empty(0)
-            row, col = np.nonzero(s >= cut[:, None]) if keep else (np.empty(0, int), np.empty(0, int))
-            yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(ids[col]), pa.array(s[row, col])], ["qid", "id", "score"])
+            for at in range(0, len(qid), step):
+                row, col, s = best_of_block(x, ids, q[at : at + step], k, metric)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[at + row]), pa.array(ids[col]), pa.array(s)], ["qid", "id", "score"])
 
     return run
 
 
-def scores(x: np.ndarray, q: np.ndarray, qn: np.ndarray, metric: Metric) -> np.ndarray:
-    """queries x rows."""
-    dot = q @ x.T
+def best_of_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, metric: Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k best rows, ties by id."""
+    about, error = _nearness(x, q, metric)
+    keep = min(k, len(ids))
+    cut = -np.partition(-(about - error), keep - 1, axis=1)[:, keep - 1]
+    row, col = np.nonzero(~(about + error < cut[:, None]))
+    s = _pair_scores(x, q, row, col, metric)
+    order = np.lexsort((ids[col], -s, row))
+    row, col, s = row[order], col[order], s[order]
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row]
+    best = place < k
+    return row[best], col[best], s[best]
+
+
+def _nearness(x: np.ndarray, q: np.ndarray, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
+    """Something that grows with the score, queries by rows, and how far off it
+    can be."""
+    if metric is Metric.EUCLIDEAN:
+        mean = x.mean(axis=0)  # or large components would drown small distances
+        x, q = x - mean, q - mean
+    xx, qq = ((m * m).sum(axis=1) for m in (x, q))
+    dot, lengths = q @ x.T, np.sqrt(qq)[:, None] * np.sqrt(xx)[None, :]
     if metric is Metric.DOT_PRODUCT:
-        return dot
-    xx = (x * x).sum(axis=1)
+        return dot, PRODUCT_ERROR * lengths
     if metric is Metric.COSINE:
-        norm = qn[:, None] * np.sqrt(xx)[None, :]
-        return np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
-    d = np.sqrt(np.maximum(qn[:, None] ** 2 + xx[None, :] - 2 * dot, 0))
-    return (1 / (1 + d)).astype(np.float32)
+        return np.divide(dot, lengths, out=np.zeros_like(dot), where=lengths > 0), np.full_like(dot, PRODUCT_ERROR)
+    both = qq[:, None] + xx[None, :]
+    return 2 * dot - both, 2 * PRODUCT_ERROR * both
+
+
+def _pair_scores(x: np.ndarray, q: np.ndarray, row: np.ndarray, col: np.ndarray, metric: Metric) -> np.ndarray:
+    """:func:`sequential_scores` of the pairs of query ``row`` and vector ``col``."""
+    out = np.empty(len(row), np.float32)
+    for at in range(0, len(row), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        out[part] = sequential_scores(np.ascontiguousarray(x[col[part]].T), np.ascontiguousarray(q[row[part]].T), metric)
+    return out

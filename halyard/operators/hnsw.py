@@ -1,11 +1,16 @@
 """Approximate nearest neighbours by a layered proximity graph, in shards.
 
-Rows are dealt to shards by id; a shard's graph is built by inserting its rows
-in id order inside one grouped task and stored as rows (shard, node, layer) with
-aligned neighbour and distance arrays. A search walks every shard's graph beside
-its vectors (cogrouped by shard) and merges the shards' k best. The number of
-shards follows the number of rows, so a task's memory does not grow with the
-data. A node's top layer comes from a hash of its id: builds are reproducible.
+Rows are dealt to shards by id once, when the graph is built; a shard is then one
+row that holds its ids, vectors and links as packed arrays. A search reads those
+rows where they lie, walks each graph, and merges the shards' k best: it shuffles
+nothing but results. The number of shards follows the number of rows, so a task's
+memory does not grow with the data. A node's top layer comes from a hash of its
+id: builds are reproducible.
+
+Building inserts the rows in id order. A node's candidates, the ``ef_construction``
+nearest of the nodes before it on a layer, are found exactly, by matrix products of
+blocks of rows; links back to it are trimmed to the layer's degree once they are
+twice as many, and in the end.
 """
 
 from __future__ import annotations
@@ -15,13 +20,37 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import HnswParams, Metric
 from .flat import best_first
 
+#: A shard: ids (64-bit), vectors (32-bit floats), top layer of each node (16-bit),
+#: and for every node and layer, ground first, its degree, neighbours (row numbers,
+#: 32-bit) and their distances, nearest first.
+SHARD_SCHEMA = "shard int, rows int, ids binary, vectors binary, level binary, degree binary, nbr binary, dist binary"
+#: The same links a row for each node and layer, neighbours by id.
 GRAPH_SCHEMA = "shard int, node_id long, layer int, nbr array<long>, dist array<float>"
+#: Rows whose distances to all earlier rows are taken at once.
+BLOCK = 256
+
+
+def distances(metric: Metric, x: np.ndarray, y: np.ndarray, x_norm: np.ndarray, y_norm: np.ndarray) -> np.ndarray:
+    """rows of x times rows of y, smaller is nearer."""
+    if metric is Metric.EUCLIDEAN:
+        # about the mean, which products of large components would drown
+        mean = y.mean(axis=0) if len(y) else np.float32(0)
+        x, y = x - mean, y - mean
+        square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
+        return np.sqrt(np.maximum(square, 0))
+    dot = x @ y.T
+    if metric is Metric.DOT_PRODUCT:
+        return -dot
+    norm = x_norm[:, None] * y_norm[None, :]
+    return 1 - np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
 
 
 class Graph:
@@ -31,23 +60,107 @@ class Graph:
         self.x = np.ascontiguousarray(vectors, np.float32)
         self.norm = np.sqrt((self.x * self.x).sum(axis=1))
         self.metric, self.p = metric, params
-        self.links: list[list[dict[int, float]]] = []  # node -> layer -> neighbour: distance
-        self.entry, self.top = -1, -1
+        self.level = np.empty(0, np.int16)
+        self.first = np.zeros(1, np.int64)  # lists before each node
+        self.start = np.zeros(1, np.int64)  # links before each list
+        self.nbr, self.dist = np.empty(0, np.int32), np.empty(0, np.float32)
         self.stamp = np.zeros(len(self.x), np.uint32)
         self.now = 0
 
-    def distances(self, q: np.ndarray, qn: float, nodes: Sequence[int]) -> np.ndarray:
+    # building
+
+    def build(self, levels: Sequence[int]) -> Graph:
+        level = np.asarray(levels, np.int16)
+        per_layer = []
+        for layer in range(int(level.max(initial=-1)) + 1):
+            nodes = np.flatnonzero(level >= layer)
+            per_layer.append(dict(zip(nodes.tolist(), self._layer(nodes, self.p.m_max0 if layer == 0 else self.p.m), strict=True)))
+        lists = [per_layer[layer][n] for n, top in enumerate(level.tolist()) for layer in range(top + 1)]
+        return self._set(level, np.array([len(n) for n, _ in lists], np.int32), np.concatenate([n for n, _ in lists] or [self.nbr]), np.concatenate([d for _, d in lists] or [self.dist]))
+
+    def _set(self, level: np.ndarray, degree: np.ndarray, nbr: np.ndarray, dist: np.ndarray) -> Graph:
+        self.level, self.nbr, self.dist = level, nbr.astype(np.int32), dist.astype(np.float32)
+        self.first = np.concatenate([[0], np.cumsum(level.astype(np.int64) + 1)])
+        self.start = np.concatenate([[0], np.cumsum(degree, dtype=np.int64)])
+        return self
+
+    def _layer(self, nodes: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Neighbours and distances of the layer's nodes, nearest first."""
+        x, norm = self.x[nodes], self.norm[nodes]
+        near: list[list[int]] = [[] for _ in nodes]
+        far: list[list[float]] = [[] for _ in nodes]
+        want = self.p.ef_construction
+        for lo in range(0, len(nodes), BLOCK):
+            hi = min(lo + BLOCK, len(nodes))
+            d = distances(self.metric, x[lo:hi], x[:hi], norm[lo:hi], norm[:hi])
+            for i in range(lo, hi):
+                row = d[i - lo, :i]
+                best = np.argpartition(row, want)[:want] if i > want else np.arange(i)
+                best = best[np.lexsort((best, row[best]))]
+                kept = self._select(x, norm, best, row[best], most)
+                near[i], far[i] = best[kept].tolist(), row[best[kept]].tolist()
+                for n, dn in zip(near[i], far[i], strict=True):
+                    near[n].append(i)
+                    far[n].append(dn)
+                    if len(near[n]) >= 2 * most:
+                        self._trim(x, norm, near, far, n, most)
+        out = []
+        for i in range(len(nodes)):
+            if len(near[i]) > most:
+                self._trim(x, norm, near, far, i, most)
+            n, dn = np.array(near[i], np.int64), np.array(far[i], np.float32)
+            order = np.lexsort((n, dn))
+            out.append((nodes[n[order]], dn[order]))
+        return out
+
+    def _trim(self, x, norm, near: list, far: list, i: int, most: int) -> None:
+        n, d = np.array(near[i]), np.array(far[i], np.float32)
+        order = np.lexsort((n, d))
+        n, d = n[order], d[order]
+        kept = self._select(x, norm, n, d, most)
+        near[i], far[i] = n[kept].tolist(), d[kept].tolist()
+
+    def _select(self, x: np.ndarray, norm: np.ndarray, near: np.ndarray, d: np.ndarray, most: int) -> list[int]:
+        """Which of the candidates, nearest first, to link: up to ``most``, passing
+        over one that lies nearer to a chosen one than to the node."""
+        if len(near) <= most:
+            return list(range(len(near)))
+        between = distances(self.metric, x[near], x[near], norm[near], norm[near])
+        open_, out = np.ones(len(near), bool), []
+        i = 0
+        while True:
+            out.append(i)
+            if len(out) == most:
+                return out
+            open_ &= between[i] >= d
+            open_[: i + 1] = False
+            i = int(open_.argmax())
+            if not open_[i]:
+                return out
+
+    # searching
+
+    @property
+    def top(self) -> int:
+        return int(self.level.max(initial=-1))
+
+    @property
+    def entry(self) -> int:
+        """The earliest node of the highest layer."""
+        return int(self.level.argmax()) if len(self.level) else -1
+
+    def neighbours(self, node: int, layer: int) -> np.ndarray:
+        at = self.first[node] + layer
+        return self.nbr[self.start[at] : self.start[at + 1]]
+
+    def _to(self, q: np.ndarray, qn: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         rows = self.x[nodes]
         if self.metric is Metric.EUCLIDEAN:
             d = rows - q
             return np.sqrt((d * d).sum(axis=1))
-        dot = rows @ q
-        if self.metric is Metric.DOT_PRODUCT:
-            return -dot
-        norm = self.norm[nodes] * qn
-        return 1 - np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
+        return distances(self.metric, q[None, :], rows, qn, self.norm[nodes])[0]
 
-    def explore(self, q: np.ndarray, qn: float, start: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
+    def explore(self, q: np.ndarray, qn: np.ndarray, start: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
         """The ef nearest nodes found from ``start``, nearest first."""
         self.now += 1
         self.stamp[[n for _, n in start]] = self.now
@@ -60,11 +173,12 @@ class Graph:
             d, node = heapq.heappop(open_)
             if len(kept) >= ef and d > -kept[0][0]:
                 break
-            fresh = [n for n in self.links[node][layer] if self.stamp[n] != self.now]
-            if not fresh:
+            near = self.neighbours(node, layer)
+            fresh = near[self.stamp[near] != self.now]
+            if not len(fresh):
                 continue
             self.stamp[fresh] = self.now
-            for dn, n in zip(self.distances(q, qn, fresh).tolist(), fresh, strict=True):
+            for dn, n in zip(self._to(q, qn, fresh).tolist(), fresh.tolist(), strict=True):
                 if len(kept) < ef or dn < -kept[0][0]:
                     heapq.heappush(open_, (dn, n))
                     heapq.heappush(kept, (-dn, -n))
@@ -72,55 +186,29 @@ class Graph:
                         heapq.heappop(kept)
         return sorted((-d, -n) for d, n in kept)
 
-    def select(self, near: list[tuple[float, int]], m: int) -> list[tuple[float, int]]:
-        """Up to m of the candidates; one that lies nearer to a chosen one than
-        to the query is passed over."""
-        near = sorted(near)
-        if len(near) <= m:
-            return near
-        out: list[tuple[float, int]] = []
-        for d, n in near:
-            if out:
-                between = self.distances(self.x[n], float(self.norm[n]), [c for _, c in out])
-                if (between < d).any():
-                    continue
-            out.append((d, n))
-            if len(out) == m:
-                break
-        return out
-
-    def insert(self, node: int, level: int) -> None:
-        self.links.append([{} for _ in range(level + 1)])
-        if self.entry < 0:
-            self.entry, self.top = node, level
-            return
-        q, qn = self.x[node], float(self.norm[node])
-        start = [(float(self.distances(q, qn, [self.entry])[0]), self.entry)]
-        for layer in range(self.top, level, -1):
-            start = self.explore(q, qn, start, 1, layer)
-        for layer in range(min(level, self.top), -1, -1):
-            near = self.explore(q, qn, start, self.p.ef_construction, layer)
-            most = self.p.m_max0 if layer == 0 else self.p.m
-            start = self.select(near, most)
-            self.links[node][layer] = {n: d for d, n in start}
-            for d, n in start:
-                own = self.links[n][layer]
-                own[node] = d
-                if len(own) > most:
-                    self.links[n][layer] = {c: dc for dc, c in self.select([(dc, c) for c, dc in own.items()], most)}
-        if level > self.top:
-            self.entry, self.top = node, level
-
     def search(self, query: Sequence[float], k: int, ef: int) -> list[tuple[float, int]]:
         if k == 0 or self.entry < 0:
             return []
         q = np.asarray(query, np.float32)
-        qn = float(np.sqrt((q * q).sum()))
-        start = [(float(self.distances(q, qn, [self.entry])[0]), self.entry)]
+        qn = np.sqrt((q * q).sum())[None]
+        start = [(float(self._to(q, qn, np.array([self.entry]))[0]), self.entry)]
         for layer in range(self.top, 0, -1):
             start = self.explore(q, qn, start, 1, layer)
         return self.explore(q, qn, start, max(ef, k), 0)[:k]
 
+    # packing
+
+    def pack(self, ids: np.ndarray) -> tuple[bytes, ...]:
+        degree = np.diff(self.start).astype("<i4")
+        return tuple(a.tobytes() for a in (ids.astype("<i8"), self.x.astype("<f4"), self.level.astype("<i2"), degree, self.nbr.astype("<i4"), self.dist.astype("<f4")))
+
+
+def unpack(row: dict, metric: Metric, params: HnswParams) -> tuple[np.ndarray, Graph]:
+    """(ids, graph) of a row of SHARD_SCHEMA."""
+    read = {n: np.frombuffer(row[n], t) for n, t in (("ids", "<i8"), ("vectors", "<f4"), ("level", "<i2"), ("degree", "<i4"), ("nbr", "<i4"), ("dist", "<f4"))}
+    g = Graph(read["vectors"].reshape(row["rows"], -1), metric, params)
+    return read["ids"], g._set(read["level"], read["degree"], read["nbr"], read["dist"])
+
 
 def score_of(metric: Metric, d: np.ndarray) -> np.ndarray:
     d = np.asarray(d, np.float32)
@@ -142,55 +230,73 @@ def shard_count(rows: int, rows_per_shard: int) -> int:
 
 
 def build(vectors: DataFrame, metric: Metric, params: HnswParams = HnswParams(), shards: int = 1, seed: int = 0) -> DataFrame:
-    """The graph of (id, vector) as rows of GRAPH_SCHEMA."""
+    """The shards of (id, vector) as rows of SHARD_SCHEMA."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
-        ids = pdf["id"].to_numpy()
-        g = Graph(np.stack(pdf["vector"].to_numpy()), metric, params)
-        for node, level in enumerate(pdf["level"].tolist()):
-            g.insert(node, level)
-        rows = [(int(pdf["shard"][0]), int(ids[n]), layer, ids[list(near)].tolist(), [float(d) for d in near.values()]) for n, layers in enumerate(g.links) for layer, near in enumerate(layers)]
-        return pd.DataFrame(rows, columns=["shard", "node_id", "layer", "nbr", "dist"])
+        g = Graph(np.stack(pdf["vector"].to_numpy()), metric, params).build(pdf["level"].tolist())
+        row = (int(pdf["shard"][0]), len(pdf), *g.pack(pdf["id"].to_numpy()))
+        return pd.DataFrame([row], columns=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
 
     v = vectors.select("id", "vector", shard_of(F.col("id"), shards).alias("shard"), random_level(F.col("id"), params.level_mult, seed).alias("level"))
-    return v.groupBy("shard").applyInPandas(one, GRAPH_SCHEMA)
+    return v.groupBy("shard").applyInPandas(one, SHARD_SCHEMA)
+
+
+def export_links(shards: DataFrame) -> DataFrame:
+    """The graph as rows of GRAPH_SCHEMA."""
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                ids, g = unpack(row, Metric.DOT_PRODUCT, HnswParams())
+                node = np.repeat(np.arange(len(ids)), np.diff(g.first))
+                layer = np.arange(len(node)) - g.first[node]
+                offsets = pa.array(g.start, pa.int32())
+                columns = [pa.array(np.full(len(node), row["shard"], np.int32)), pa.array(ids[node]), pa.array(layer.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(ids[g.nbr])), pa.ListArray.from_arrays(offsets, pa.array(g.dist))]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in GRAPH_SCHEMA.split(", ")])
+
+    return shards.mapInArrow(run, GRAPH_SCHEMA)
+
+
+def import_links(vectors: DataFrame, links: DataFrame, shards: int) -> DataFrame:
+    """Rows of SHARD_SCHEMA from vectors and exported links."""
 
+    def one(v: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        columns = [c.split()[0] for c in SHARD_SCHEMA.split(", ")]
+        if not len(v):
+            return pd.DataFrame([], columns=columns)
+        v, rows = v.sort_values("id", ignore_index=True), rows.sort_values(["node_id", "layer"], ignore_index=True)
+        ids = v["id"].to_numpy()
+        level = rows.groupby("node_id")["layer"].max().reindex(ids).to_numpy(np.int16)
+        g = Graph(np.stack(v["vector"].to_numpy()), Metric.DOT_PRODUCT, HnswParams())
+        near, dist = (np.concatenate([np.asarray(a) for a in rows[c]]) for c in ("nbr", "dist"))
+        g._set(level, rows["nbr"].map(len).to_numpy(np.int32), np.searchsorted(ids, near), dist)
+        return pd.DataFrame([(int(v["shard"][0]), len(v), *g.pack(ids))], columns=columns)
 
-def entries(graph: DataFrame) -> DataFrame:
+    v = vectors.select("id", "vector", shard_of(F.col("id"), shards).alias("shard"))
+    return v.groupBy("shard").cogroup(links.groupBy("shard")).applyInPandas(one, SHARD_SCHEMA)
+
+
+def entries(links: DataFrame) -> DataFrame:
     """shard, entry_point, max_layer: the earliest node of the highest layer."""
-    return graph.groupBy("shard").agg(F.min(F.struct((-F.col("layer")).alias("up"), "node_id")).alias("e")).select("shard", F.col("e.node_id").alias("entry_point"), (-F.col("e.up")).alias("max_layer"))
+    return links.groupBy("shard").agg(F.min(F.struct((-F.col("layer")).alias("up"), "node_id")).alias("e")).select("shard", F.col("e.node_id").alias("entry_point"), (-F.col("e.up")).alias("max_layer"))
 
 
-def search(vectors: DataFrame, graph: DataFrame, queries: Sequence[Sequence[float]], k: int, metric: Metric, params: HnswParams = HnswParams(), shards: int = 1, ef_search: int | None = None) -> DataFrame:
+def search(shards: DataFrame, queries: Sequence[Sequence[float]], k: int, metric: Metric, params: HnswParams = HnswParams(), ef_search: int | None = None) -> DataFrame:
     """qid, id, score: for each query the k best of all shards."""
     ef = ef_search or params.ef
     qs = np.asarray(queries, np.float32).reshape(len(queries), -1)
 
-    def one(v: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values("id", ignore_index=True)
-        out = []
-        if len(v) and len(links):
-            ids = v["id"].to_numpy()
-            g = Graph(np.stack(v["vector"].to_numpy()), metric, params)
-            links = links.sort_values(["node_id", "layer"])
-            at = {i: n for n, i in enumerate(ids.tolist())}
-            g.links = [[] for _ in range(len(ids))]
-            for node, near, dist in zip(links["node_id"], links["nbr"], links["dist"], strict=True):
-                g.links[at[node]].append(dict(zip((at[i] for i in near.tolist()), dist.tolist(), strict=True)))
-            tops = [len(x) for x in g.links]
-            g.top = max(tops) - 1
-            g.entry = tops.index(g.top + 1)
-            for i, q in enumerate(qs):
-                found = g.search(q, k, ef)
-                out += [(i, int(ids[n]), float(s)) for (_, n), s in zip(found, score_of(metric, np.array([d for d, _ in found])), strict=True)]
-        return pd.DataFrame(out, columns=["qid", "id", "score"]).astype({"qid": "int32", "id": "int64", "score": "float32"})
+    def run(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                ids, g = unpack(b.slice(at, 1).to_pylist()[0], metric, params)
+                found = [(i, d, n) for i, q in enumerate(qs) for d, n in g.search(q, k, ef)]
+                qid, d, n = (np.array([r[c] for r in found], t) for c, t in ((0, np.int32), (1, np.float32), (2, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ids[n]), pa.array(score_of(metric, d).astype(np.float32))], ["qid", "id", "score"])
 
-    v = vectors.select("id", "vector", shard_of(F.col("id"), shards).alias("shard"))
-    found = v.groupBy("shard").cogroup(graph.groupBy("shard")).applyInPandas(one, "qid int, id long, score float")
+    found = shards.mapInArrow(run, "qid int, id long, score float")
     if len(queries) == 1:
         return found.orderBy(*best_first()).limit(k)
-    from pyspark.sql import Window as W
-
     place = F.row_number().over(W.partitionBy("qid").orderBy(*best_first()))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).drop("rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from typing import Any
 
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 from ..functions.ids import new_ulid, parse_ulid
 from ..functions.metadata import Filter, canon_map, from_json
-from ..model import OVERSAMPLE, OVERSAMPLE_CAP, RESULT_SCHEMA, VECTORS_SCHEMA, BadRequest, EngineConfig, HnswParams, IndexType, Metric, check_vector
+from ..model import OVERSAMPLE, OVERSAMPLE_CAP, RESULT_SCHEMA, VECTORS_SCHEMA, BadRequest, EngineConfig, HnswParams, IndexType, Metric, NotFound, check_vector
 from ..operators import flat, hnsw
 from ..sources.store import CollectionStore, Manifest
 
 
+log = logging.getLogger(__name__)
+
+
 def candidates(k: int, filtered: bool, cap: int = OVERSAMPLE_CAP) -> int:
     """How many of the best rows a filter gets to see."""
     return min(OVERSAMPLE * k, cap) if filtered else k
@@ -42,7 +46,10 @@ def search_plan(vectors: DataFrame, query, k: int, metric: Metric, where: Filter
 
 
 class Collection:
-    """Vectors of one dimension under one metric and index."""
+    """Vectors of one dimension under one metric and index.
+
+    Every call sees what is committed when it is made; a DataFrame it returns
+    stays readable until the second compaction after it."""
 
     def __init__(self, store: CollectionStore, manifest: Manifest):
         self.store, self.manifest = store, manifest
@@ -60,7 +67,7 @@ class Collection:
         return self
 
     def __len__(self) -> int:
-        return self.store.count(self.manifest)
+        return self.store.count(self.refresh().manifest)
 
     vector_count = property(__len__)
 
@@ -85,7 +92,7 @@ class Collection:
         return self.store.append(self.manifest, df, stream, batch)
 
     def vectors(self) -> DataFrame:
-        return self.store.vectors(self.manifest)
+        return self.store.vectors(self.refresh().manifest)
 
     def get(self, id_: int) -> DataFrame:
         return self.vectors().filter(F.col("id") == id_)
@@ -95,24 +102,24 @@ class Collection:
         q = check_vector(query, self.dimension, "Query")
         if k < 0:
             raise BadRequest("k must not be negative")
-        if k == 0 or self.is_empty():
+        if k == 0 or not (rows := len(self)):
             return self.spark.createDataFrame([], RESULT_SCHEMA)
         columns = [f.name for f in RESULT_SCHEMA]
         if self.index_type is IndexType.FLAT or self.generation == 0:
-            return search_plan(self.vectors(), q, k, self.metric, where, rows=len(self)).select(columns)
+            return search_plan(self.store.vectors(self.manifest), q, k, self.metric, where, rows=rows).select(columns)
         return self._graph_search(q, k, where, ef_search).select(columns)
 
     def _graph_search(self, q: list[float], k: int, where: Filter | None, ef_search: int | None) -> DataFrame:
         """The graphs' best and those of rows logged since, which no graph holds."""
         m, want = self.manifest, candidates(k, where is not None)
-        found = None
+        open_, found = self.store._open(m), None
         if m.vector_count:
-            found = hnsw.search(self.store.snapshot(m), self.store.graph(m), [q], want, self.metric, m.hnsw, m.shards, ef_search).select("id", "score")
-        if (new := self.store.logged(m)) is not None:
+            found = hnsw.search(self.store.graph(m), [q], want, self.metric, m.hnsw, ef_search).select("id", "score")
+        if (new := self.store.logged(m, open_)) is not None:
             exact = flat.search(new, metrics.query_vector(q), want, self.metric).select("id", "score")
             found = exact if found is None else found.unionByName(exact)
         found = found.orderBy(*flat.best_first()).limit(want)
-        rows = self.vectors().join(found, "id")
+        rows = self.store.vectors(m, open_).join(found, "id")
         return (rows if where is None else rows.filter(where.column())).orderBy(*flat.best_first()).limit(k)
 
     def compact(self) -> Collection:
@@ -145,19 +152,26 @@ class Engine:
         self.store.delete(parse_ulid(id_))
 
     def list(self) -> list[Collection]:
+        """What can be read; a collection dropped meanwhile is left out."""
         return [Collection(self.store, m) for m in self.store.load_all(verify=False)]
 
     def load_all(self) -> list[Collection]:
         return [Collection(self.store, m) for m in self.store.load_all()]
 
     def flush(self) -> list[str]:
-        """Compacts every collection with logged rows; one that fails is
-        reported by the error and stays as it was."""
+        """Compacts every collection with logged rows and returns their ids; one
+        that fails is logged, stays as it was, and doesn't keep the others."""
         done = []
-        for c in self.list():
-            if c.store._open(c.manifest):
-                c.compact()
-                done.append(c.id)
+        for id_ in self.store.ids():
+            try:
+                c = Collection(self.store, self.store.manifest(id_))
+                if c.store._open(c.manifest):
+                    c.compact()
+                    done.append(id_)
+            except NotFound:
+                continue  # dropped meanwhile
+            except Exception:
+                log.exception("collection %s not flushed", id_)
         return done
 
 

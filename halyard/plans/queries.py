@@ -13,7 +13,7 @@ from ..functions import metrics
 from ..functions.ids import new_ulid
 from ..functions.metadata import Filter
 from ..model import EngineConfig, IndexType, Metric
-from ..operators import flat, hnsw
+from ..operators import flat
 from .collection import Collection, Engine, candidates, search_plan
 
 COS, EUC, DOT = Metric.COSINE, Metric.EUCLIDEAN, Metric.DOT_PRODUCT
@@ -110,19 +110,6 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.select(F.col("id").alias("vec_id"), F.element_at("metadata", "label").cast("int").alias("label"), "external_id")
 
 
-def _get(vec_id: int) -> Callable:
-    def run(spark, sf_dir):
-        v = _vectors(spark, sf_dir).filter(F.col("id") == vec_id)
-        return v.select(F.col("id").alias("vec_id"), F.element_at("metadata", "label").cast("int").alias("label"), F.posexplode("vector").alias("place", "component")).select("vec_id", "label", "place", F.col("component").cast("double").alias("component"))
-
-    return run
-
-
-def _collection_detail(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    return v.agg(F.count("*").alias("vector_count"), F.max(F.size("vector")).cast("long").alias("dimension"))
-
-
 def _ordinal_ids(spark, sf_dir):
     """Ids given by the log are the rows' places in the order of insertion."""
     c = _stored(spark, sf_dir)
@@ -165,12 +152,6 @@ def _snapshot_header(spark, sf_dir):
     return spark.createDataFrame([(m.index_type, m.metric, m.dimension, m.generation, m.vector_count, m.version)], "index_type string, metric string, dimension int, generation long, vector_count long, version int")
 
 
-def _dimension_guard(spark, sf_dir):
-    """How many rows each of three dimensions would refuse."""
-    v = _vectors(spark, sf_dir)
-    return v.agg(*[F.count_if(F.size("vector") != d).alias(f"refused_by_{d}") for d in (63, 64, 65)])
-
-
 def _knn_queries(spark, sf_dir) -> DataFrame:
     v = _vectors(spark, sf_dir)
     return v.filter(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "vector")
@@ -180,31 +161,6 @@ def _knn_join(spark, sf_dir):
     return flat.knn_join(_knn_queries(spark, sf_dir), _vectors(spark, sf_dir), 10, COS).select("qid", F.col("id").alias("vec_id"), "rank")
 
 
-def _hnsw_queries(spark, sf_dir, n: int) -> list:
-    return [r["vector"] for r in _vectors(spark, sf_dir).orderBy("id").limit(n).select("vector").collect()]
-
-
-def _hnsw(spark, sf_dir, n: int, k: int, ef: int) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    shards = hnsw.shard_count(v.count(), EngineConfig().rows_per_shard)
-    graph = hnsw.build(v, COS, shards=shards)
-    return hnsw.search(v, graph, _hnsw_queries(spark, sf_dir, n), k, COS, shards=shards, ef_search=ef)
-
-
-def _hnsw_recall(spark, sf_dir):
-    """Whether the mean recall at 10 of twenty queries passes 0.8."""
-    found = _hnsw(spark, sf_dir, 20, 10, 100)
-    q = _vectors(spark, sf_dir).orderBy("id").limit(20).select(F.col("id").alias("qid"), "vector")
-    exact = flat.knn_join(q, _vectors(spark, sf_dir), 10, COS).select(F.col("qid").cast("int").alias("qid"), "id")
-    hits = found.select("qid", "id").join(exact, ["qid", "id"])
-    return hits.agg((F.count("*") / 200 > 0.8).alias("recall_passes"))
-
-
-def _hnsw_exhaustive(spark, sf_dir):
-    """A search as wide as the table: the exact result."""
-    return _hnsw(spark, sf_dir, 1, 10, 4000).select(F.col("id").alias("vec_id"), F.round(F.col("score").cast("double"), 4).alias("score"))
-
-
 def _list_collections(spark, sf_dir):
     """Manifests of a folder: two collections, one with rows."""
     e = _engine(spark)
@@ -230,19 +186,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_k_zero": _top(COS, 0),
     "topk_k_gt_n": _top(EUC, 100_000),
     "filter_type_strict": _filter_types,
-    "get_by_id": _get(7),
-    "get_missing": _get(10**9),
-    "collection_detail": _collection_detail,
     "ordinal_ids": _ordinal_ids,
     "external_ids": _external_ids,
     "snapshot_roundtrip": _snapshot_roundtrip,
     "wal_replay": _wal_replay,
     "compact_then_reload": _compact_then_reload,
     "snapshot_header": _snapshot_header,
-    "dimension_guard": _dimension_guard,
     "knn_join": _knn_join,
-    "hnsw_recall": _hnsw_recall,
-    "hnsw_exhaustive": _hnsw_exhaustive,
     "list_collections": _list_collections,
 }
 
@@ -270,21 +220,15 @@ ORACLE_SQL: dict[str, str] = {
     "topk_k_zero": _sql_top(COS, 0),
     "topk_k_gt_n": _sql_top(EUC, 100_000),
     "filter_type_strict": "SELECT vec_id, label = 3 AS as_int, false AS as_float, false AS as_text, false AS as_null, false AS missing FROM embeddings",
-    "get_by_id": "SELECT vec_id, label, (i - 1)::INT AS place, embedding[i]::DOUBLE AS component FROM embeddings, range(1, 65) t(i) WHERE vec_id = 7",
-    "get_missing": "SELECT vec_id, label, 0::INT AS place, embedding[1]::DOUBLE AS component FROM embeddings WHERE vec_id = 1000000000",
-    "collection_detail": "SELECT count(*) AS vector_count, max(len(embedding)) AS dimension FROM embeddings",
     "ordinal_ids": "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS ordinal FROM embeddings",
     "external_ids": "SELECT vec_id, nullif(CASE WHEN vec_id % 3 <> 0 THEN 'ext-' || vec_id ELSE '' END, '') AS external_id FROM embeddings",
     "snapshot_roundtrip": _ROWS,
     "wal_replay": _ROWS,
     "compact_then_reload": _ROWS,
     "snapshot_header": "SELECT 'flat' AS index_type, 'cosine' AS metric, 64::INT AS dimension, 1::BIGINT AS generation, count(*) AS vector_count, 2::INT AS version FROM embeddings",
-    "dimension_guard": "SELECT count(*) FILTER (len(embedding) <> 63) AS refused_by_63, count(*) FILTER (len(embedding) <> 64) AS refused_by_64, count(*) FILTER (len(embedding) <> 65) AS refused_by_65 FROM embeddings",
     "knn_join": """SELECT qid, vec_id, rank::INT AS rank FROM (
       SELECT a.vec_id AS qid, b.vec_id AS vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
       FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE rank <= 10""",
-    "hnsw_recall": "SELECT true AS recall_passes",
-    "hnsw_exhaustive": f"SELECT vec_id, round(s, 4) AS score FROM (SELECT vec_id, {_S[COS]} AS s FROM ({_E}) ORDER BY s DESC, vec_id LIMIT 10)",
     "list_collections": "SELECT 'empty' AS name, 3::INT AS dimension, 'euclidean' AS metric, 0::BIGINT AS vector_count UNION ALL SELECT 'embeddings', 64::INT, 'dot_product', count(*) FROM embeddings",
 }
 

@@ -1,5 +1,5 @@
-"""The service: five routes as a function from request to (status, body), and an
-HTTP adapter over it."""
+"""The service: its routes as a function from request to (status, body), and an HTTP
+adapter over it, with logged rows flushed in the background."""
 
 from __future__ import annotations
 
@@ -11,9 +11,11 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
+from . import openapi
 from .functions.metadata import Filter
 from .model import BadRequest, EngineConfig, EngineError, IndexType, Metric, check_vector
 from .plans.collection import Engine
+from .streaming.flush import FlushWorker
 
 log = logging.getLogger(__name__)
 
@@ -34,13 +36,29 @@ class Service:
         self.config = config or EngineConfig()
         self.engine = Engine(spark, self.config)
         self._write = threading.Lock()
+        self.worker = FlushWorker(self.engine)
 
-    def handle(self, method: str, path: str, body: Any = None) -> tuple[int, dict]:
+    def start(self) -> Service:
+        """Begin flushing logged rows in the background."""
+        self.worker.start()
+        return self
+
+    def close(self) -> None:
+        """Let the insert in progress end, then flush what is logged."""
+        with self._write:
+            self.worker.stop()
+
+    def handle(self, method: str, path: str, body: Any = None) -> tuple[int, dict | str]:
+        """(status, body); a body that is text is a page."""
         parts = [p for p in path.split("?")[0].split("/") if p]
         try:
             match method, parts:
                 case "GET", ["health"]:
                     return 200, {"status": "ok"}
+                case "GET", ["api-doc", "openapi.json"]:
+                    return 200, openapi.document()
+                case "GET", ["swagger-ui", *_]:
+                    return 200, openapi.page()
                 case "POST", ["collections"]:
                     return self._create(body)
                 case "GET", ["collections", id_]:
@@ -84,7 +102,8 @@ class Service:
 
 
 def http_server(service: Service) -> ThreadingHTTPServer:
-    """A server on the configured host and port; the caller runs and stops it."""
+    """A server on the configured host and port; the caller runs and stops it.
+    The background flush runs from here on to ``server_close()``."""
 
     class Handler(BaseHTTPRequestHandler):
         def _answer(self) -> None:
@@ -93,9 +112,9 @@ def http_server(service: Service) -> ThreadingHTTPServer:
                 status, body = service.handle(self.command, self.path, json.loads(raw) if raw else None)
             except ValueError:
                 status, body = 400, {"error": "body is not JSON"}
-            data = json.dumps(body).encode()
+            data = (body if isinstance(body, str) else json.dumps(body)).encode()
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", "text/html; charset=utf-8" if isinstance(body, str) else "application/json")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)
@@ -105,4 +124,12 @@ def http_server(service: Service) -> ThreadingHTTPServer:
         def log_message(self, *args) -> None:
             log.info(*args)
 
-    return ThreadingHTTPServer((service.config.host, service.config.port), Handler)
+    class Server(ThreadingHTTPServer):
+        def server_close(self) -> None:
+            super().server_close()  # waits for requests in progress
+            service.close()
+
+        daemon_threads = False
+
+    service.start()
+    return Server((service.config.host, service.config.port), Handler)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -46,21 +48,28 @@ class FileSystem:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """Creates the file unless it is there; whether this call did."""
-        try:
-            self._write(path, text, False)
-            return True
-        except Exception as e:
-            if self.exists(path):
-                return False
-            raise e
+        """Creates the file, whole, unless it is there; whether this call did."""
+        return self._put(path, text, "NONE")
 
     def replace(self, path: str, text: str) -> None:
         """Old content or new content, never part of it."""
-        self._write(path + ".tmp", text, True)
-        target = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._put(path, text, "OVERWRITE")
+
+    def _put(self, path: str, text: str, mode: str) -> bool:
+        """Writes beside the target and renames."""
+        hadoop = self._jvm.org.apache.hadoop.fs
+        staged = f"{path}.{uuid.uuid4().hex}.tmp"
+        self._write(staged, text, True)
+        target = hadoop.Path(path)
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else self._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf), conf)
-        option = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        option[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(self._jvm.org.apache.hadoop.fs.Path(path + ".tmp"), target, option)
+        context = hadoop.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else hadoop.FileSystem.getDefaultUri(conf), conf)
+        option = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        option[0] = getattr(hadoop.Options.Rename, mode)
+        try:
+            context.rename(hadoop.Path(staged), target, option)
+            return True
+        except Exception:
+            self.delete(staged)
+            if mode == "NONE" and self.exists(path):
+                return False
+            raise

@@ -7,6 +7,7 @@ Reading is distributed by file; the engine's own storage is Parquet.
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from ..model import CorruptData
 
 # fixed values of the format
 MAGIC, VERSION, HEADER = b"ATVX", 1, struct.Struct("<4sIIQ")
+#: Bytes of a file that is written, about.
+FILE_BYTES = 64 << 20
 
 
 def pack(vectors: np.ndarray) -> bytes:
@@ -45,7 +48,8 @@ def unpack(data: bytes, dimension: int | None = None, count: int | None = None)
 
 
 def read(spark: SparkSession, path: str, dimension: int | None = None) -> DataFrame:
-    """file, id (place in its file), vector of all vector files under a path."""
+    """file, id (place in its file), vector of all vector files under a path. A file
+    is one value of a task: :func:`write` keeps files small."""
 
     def run(batches):
         for b in batches:
@@ -60,25 +64,46 @@ def read(spark: SparkSession, path: str, dimension: int | None = None) -> DataFr
     return files.mapInArrow(run, "file string, id long, vector array<float>")
 
 
-def write(df: DataFrame, path: str) -> None:
-    """One vector file for each partition of (id, vector), its rows in id order;
-    written by the task that holds it, under a name of its own."""
-    spark = df.sparkSession
+def write(df: DataFrame, path: str, dimension: int, file_bytes: int = FILE_BYTES) -> None:
+    """Vector files of (id, vector) in id order, about ``file_bytes`` each.
 
-    def run(batches):
-        from pyspark import TaskContext
+    Rows are dealt by ranges of ids; the task that holds a range writes its file
+    beside the target (through the file system of the folder's URI), and the driver
+    renames what tasks report: an attempt that was lost or doubled leaves nothing
+    behind, and no vector passes the driver."""
+    from .fs import FileSystem
 
-        rows = [(i, v) for b in batches for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        if rows:
-            rows.sort(key=lambda r: r[0])
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pack(np.array([v for _, v in rows], "<f4"))], pa.binary())], ["part", "data"])
+    fs = FileSystem(df.sparkSession)
+    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    system, at = fs._at(staged)
+    system.mkdirs(at)
+    uri = system.makeQualified(at).toString()
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri
 
-    from .fs import FileSystem
+    def run(batches):
+        from pyarrow import fs as pafs
+        from pyspark import TaskContext
 
-    fs = FileSystem(spark)
-    for r in df.select("id", "vector").mapInArrow(run, "part int, data binary").toLocalIterator():
-        f, p = fs._at(f"{path}/part-{r['part']:05d}.vec.tmp")
-        stream = f.create(p, True)
-        stream.write(bytearray(r["data"]))
-        stream.close()
-        f.rename(p, fs._at(f"{path}/part-{r['part']:05d}.vec")[1])
+        ids, rows = [], []
+        for b in batches:
+            flat = b.column(1).flatten()
+            if b.column(1).null_count or len(flat) != dimension * b.num_rows:
+                raise ValueError(f"a vector has not {dimension} components")
+            ids.append(b.column(0).to_numpy())
+            rows.append(flat.to_numpy().reshape(-1, dimension))
+        if ids:
+            ids, rows = np.concatenate(ids), np.concatenate(rows)
+            context = TaskContext.get()
+            name = f"{context.partitionId():05d}-{context.taskAttemptId()}"
+            target, folder = pafs.FileSystem.from_uri(uri)
+            with target.open_output_stream(f"{folder}/{name}") as out:
+                out.write(pack(rows[np.argsort(ids, kind="stable")]))
+            yield pa.RecordBatch.from_arrays([pa.array([context.partitionId()]), pa.array([name])], ["part", "name"])
+
+    try:
+        files = max(1, -(-df.count() * 4 * dimension // file_bytes))
+        packed = df.select("id", F.col("vector").cast("array<float>").alias("vector")).repartitionByRange(files, "id")
+        for r in packed.mapInArrow(run, "part long, name string").collect():
+            system.rename(fs._at(f"{staged}/{r['name']}")[1], fs._at(f"{path.rstrip('/')}/part-{r['part']:05d}.vec")[1])
+    finally:
+        fs.delete(staged)

@@ -1,6 +1,7 @@
 import json
 import os
 import threading
+import time
 import urllib.request
 
 import numpy as np
@@ -13,6 +14,7 @@ from halyard.plans.collection import Collection, Engine
 from halyard.service import Service, http_server
 from halyard.sources import vecfile
 from halyard.sources.store import read_log_records
+from halyard.streaming.flush import FlushWorker
 from halyard.streaming.ingest import ingest, stop
 
 
@@ -77,7 +79,11 @@ def test_restart_after_flush(engine, index):
     c = again[0].compact()
     assert rows(c) == want and c.generation == 2 and len(c) == 4
     assert [r["id"] for r in c.search([0, 0, 1], 4).collect()][0] == 3
-    assert engine.store.fs.list(engine.store.path(c.id)) == ["gen=2", "log", "manifest.json"]
+    folders = [f for f in engine.store.fs.list(engine.store.path(c.id)) if f.startswith("gen=")]
+    assert [f.split("-")[0] for f in folders] == ["gen=1", "gen=2"]
+    c = c.compact()
+    folders = [f for f in engine.store.fs.list(engine.store.path(c.id)) if f.startswith("gen=")]
+    assert [f.split("-")[0] for f in folders] == ["gen=2", "gen=3"] and rows(c) == want
 
 
 def test_generations_and_empty_collections(engine):
@@ -98,13 +104,112 @@ def test_crash_points(engine, monkeypatch):
     monkeypatch.undo()
     c = engine.collection(c.id)
     assert c.generation == 0 and rows(c) == want
-    real = type(engine.store.fs).delete
-    monkeypatch.setattr(type(engine.store.fs), "delete", lambda self, p: real(self, p) if p.endswith("gen=1") else (_ for _ in ()).throw(OSError("crash")))
-    with pytest.raises(OSError):  # committed, but not cleared up
-        c.compact()
+    monkeypatch.setattr(type(engine.store.fs), "delete", lambda self, p: (_ for _ in ()).throw(OSError("crash")))
+    c.compact()  # committed, but not cleared up
+    c.compact()
     monkeypatch.undo()
     c = engine.collection(c.id)
-    assert c.generation == 1 and rows(c) == want and c.insert([0, 0, 1], {}) == 3
+    assert c.generation == 2 and rows(c) == want and c.insert([0, 0, 1], {}) == 3
+    assert len(c.compact()) == 4 and sorted(rows(c)) == [0, 1, 2, 3]
+
+
+def test_stale_handle_loses_nothing(engine):
+    c = engine.create("c", 3, Metric.COSINE)
+    a, b = Collection(c.store, c.manifest), Collection(c.store, c.manifest)
+    assert a.insert([1, 0, 0], {}) == 0
+    a.compact()
+    assert b.insert([0, 1, 0], {}) == 1
+    assert sorted(rows(engine.collection(c.id))) == [0, 1]
+    a.compact()
+    a.compact()
+    assert b.insert([0, 0, 1], {}) == 2 and [len(a), len(b)] == [3, 3] and sorted(rows(b)) == [0, 1, 2]
+
+
+def test_append_during_compaction_counts_once(engine, monkeypatch):
+    c = engine.create("c", 3, Metric.COSINE)
+    c.insert_many(AXES)
+    store, real = type(engine.store), type(engine.store)._checksum
+
+    def late(self, *a):
+        monkeypatch.undo()
+        Collection(self, c.manifest).insert([0, 0, 1], {}, "late")
+        return real(self, *a)
+
+    monkeypatch.setattr(store, "_checksum", late)
+    c.compact()
+    assert len(c) == 4 and sorted(rows(c)) == [0, 1, 2, 3]
+    c.compact()
+    assert len(c) == 4 and [r["external_id"] for r in c.get(3).collect()] == ["late"]
+
+
+def test_commit_under_a_passed_number_is_taken_back(engine, monkeypatch):
+    c = engine.create("c", 3, Metric.COSINE)
+    store, real, other = type(engine.store), type(engine.store).count, Collection(c.store, c.manifest)
+
+    def slow(self, m, open_=None):  # meanwhile another row is logged, and two snapshots pass its number
+        monkeypatch.undo()
+        other.insert([1, 0, 0], {}, "first")
+        other.compact()
+        other.compact()
+        return real(self, m, open_)
+
+    monkeypatch.setattr(store, "count", slow)
+    assert c.insert([0, 1, 0], {}, "second") == 1
+    assert {i: v[2] for i, v in rows(c).items()} == {0: "first", 1: "second"}
+
+
+def test_two_compactions_at_once(engine, monkeypatch):
+    c = engine.create("c", 3, Metric.COSINE)
+    c.insert_many(AXES)
+    want, store, real = rows(c), type(engine.store), type(engine.store)._checksum
+
+    def between(self, *a):
+        monkeypatch.undo()
+        Collection(self, c.manifest).compact()
+        return real(self, *a)
+
+    monkeypatch.setattr(store, "_checksum", between)
+    c.compact()
+    assert c.generation == 1 and rows(c) == want
+    folders = [f for f in engine.store.fs.list(engine.store.path(c.id)) if f.startswith("gen=")]
+    assert len(folders) == 1 and engine.store.load_all()
+
+
+def test_reader_outlives_a_compaction(engine):
+    c = engine.create("c", 3, Metric.COSINE)
+    c.insert_many(AXES)
+    c.compact()
+    c.insert([0, 0, 1], {}, "z")
+    held = c.vectors()
+    c.compact()
+    assert sorted(r["id"] for r in held.collect()) == [0, 1, 2, 3]
+
+
+def test_many_inserts_are_one_scan(engine):
+    c = engine.create("c", 3, Metric.COSINE)
+    for i in range(4):
+        c.insert([i, 1, 0], {})
+    assert c.vectors()._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(rows(c)) == [0, 1, 2, 3]
+
+
+def test_flush_worker(engine, monkeypatch):
+    a, b = engine.create("a", 3, Metric.COSINE), engine.create("b", 3, Metric.COSINE)
+    a.insert_many(AXES)
+    b.insert_many(AXES)
+    real = type(engine.store).compact
+    monkeypatch.setattr(type(engine.store), "compact", lambda self, m: (_ for _ in ()).throw(OSError("no")) if m.id == a.id else real(self, m))
+    assert engine.flush() == [b.id] and len(a) == 3  # the failing one doesn't keep the other
+    monkeypatch.undo()
+    worker = FlushWorker(engine, 0.2).start()
+    deadline = time.monotonic() + 60
+    while engine.collection(a.id).generation == 0 and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert engine.collection(a.id).generation == 1
+    worker.interval = 3600
+    b.insert([0, 0, 1], {})
+    worker.stop()
+    assert not engine.store._open(b.refresh().manifest) and len(b) == 4
 
 
 def test_two_writers_get_different_ids(engine):
@@ -119,7 +224,7 @@ def test_damage(engine):
     for c in (a, b):
         c.insert_many(AXES)
         c.compact()
-    folder = engine.store.path(a.id, "gen=1", "vectors")
+    folder = engine.store.path(a.id, a.manifest.folder, "vectors")
     part = next(f for f in os.listdir(folder) if f.endswith(".parquet"))
     os.remove(f"{folder}/.{part}.crc")
     with open(f"{folder}/{part}", "r+b") as f:
@@ -128,7 +233,7 @@ def test_damage(engine):
     with pytest.raises(CorruptData, match="checksum"):
         engine.store.verify(engine.store.manifest(a.id))
     os.makedirs(f"{engine.store.config.data_dir}/junk")
-    with open(f"{engine.store.config.data_dir}/junk/manifest.json", "w") as f:
+    with open(f"{engine.store.config.data_dir}/junk/manifest-{0:012d}.json", "w") as f:
         f.write("no json")
     assert [m.id for m in engine.store.load_all()] == [b.id]
     engine.drop(a.id)
@@ -199,9 +304,13 @@ def test_vector_files(spark, tmp_path):
         with pytest.raises(CorruptData):
             vecfile.unpack(data, **k)
     df = spark.createDataFrame([(i, x[i].tolist()) for i in range(4)], "id long, vector array<float>")
-    vecfile.write(df.coalesce(1), str(tmp_path / "vec"))
-    back = vecfile.read(spark, str(tmp_path / "vec"), 3).orderBy("id").collect()
-    assert [list(r["vector"]) for r in back] == x.tolist()
+    for name, size, files in (("one", 1000, 1), ("many", 24, 2)):
+        vecfile.write(df.repartition(3), str(tmp_path / name), 3, size)
+        back = vecfile.read(spark, str(tmp_path / name), 3).orderBy("file", "id").collect()
+        assert [list(r["vector"]) for r in back] == x.tolist()
+        assert sorted(f for f in os.listdir(tmp_path / name) if f[0] != ".") == [f"part-{i:05d}.vec" for i in range(files)]
+    with pytest.raises(Exception, match="components"):
+        vecfile.write(df, str(tmp_path / "bad"), 4)
 
 
 def test_service(spark, tmp_path, monkeypatch):
@@ -246,5 +355,10 @@ def test_http(spark, tmp_path):
         assert urllib.request.urlopen(urllib.request.Request(url + "/collections", body)).status == 201
         with pytest.raises(urllib.error.HTTPError, match="400"):
             urllib.request.urlopen(urllib.request.Request(url + "/collections", b"{"))
+        doc = json.load(urllib.request.urlopen(url + "/api-doc/openapi.json"))
+        assert {(m, p) for p, ops in doc["paths"].items() for m in ops} == {("get", "/health"), ("post", "/collections"), ("get", "/collections/{id}"), ("post", "/collections/{id}/vectors"), ("post", "/collections/{id}/search")}
+        page = urllib.request.urlopen(url + "/swagger-ui/")
+        assert page.headers["Content-Type"].startswith("text/html") and b"/collections/{id}/search" in page.read()
     finally:
         server.shutdown()
+        server.server_close()

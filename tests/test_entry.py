@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from halyard.plans import engine_queries as engine
 from halyard.plans import queries as vector
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -18,13 +19,13 @@ def test_flagship(spark):
     assert out.columns == ["vec_id", "score"] and out.first()["vec_id"] == 0
 
 
-@pytest.mark.parametrize("name", ["topk_cosine", "topk_filtered", "topk_filtered_cap", "cosine_zero_vector", "ordinal_ids", "compact_then_reload", "knn_join", "hnsw_exhaustive"])
+@pytest.mark.parametrize("name", ["topk_cosine", "topk_filtered", "topk_filtered_cap", "cosine_zero_vector", "ordinal_ids", "compact_then_reload", "knn_join", *engine.ORACLE_SQL])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    cur = con.execute(vector.ORACLE_SQL[name])
+    cur = con.execute((vector.ORACLE_SQL | engine.ORACLE_SQL)[name])
     columns = [c[0] for c in cur.description]
-    out = vector.QUERIES[name](spark, SF)
+    out = (vector.QUERIES | engine.QUERIES)[name](spark, SF)
     assert sorted(out.columns) == sorted(columns)
     assert sorted(map(tuple, out.select(columns).collect()), key=str) == sorted(cur.fetchall(), key=str)
 
@@ -32,9 +33,15 @@ def test_queries_against_sql(spark, name):
 def test_works_without_the_training_data_part(tmp_path):
     shutil.copytree(ROOT / "halyard", tmp_path / "halyard", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert 'topk_cosine' in e.queries() and not any(k.startswith('op') for k in e.queries()) and set(e.oracle_sql()) == set(e.queries())"
+    code = "import __spark_entry__ as e; assert 'topk_cosine' in e.queries() and not any(k.startswith('op') for k in e.queries()) and set(e.queries()) - set(e.oracle_sql()) == {'hnsw_recall_measured'}"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
 def test_every_query_has_sql_or_is_tested():
-    assert set(vector.ORACLE_SQL) == set(vector.QUERIES)
+    assert set(vector.ORACLE_SQL) == set(vector.QUERIES) and not set(vector.QUERIES) & set(engine.QUERIES)
+    assert set(engine.QUERIES) - set(engine.ORACLE_SQL) == {"hnsw_recall_measured"}
+
+
+def test_measured_recall(spark):
+    rows = engine.QUERIES["hnsw_recall_measured"](spark, SF).collect()
+    assert [r["ef_search"] for r in rows] == [10, 50, 100, 200] and all(0.9 <= r["recall"] <= 1 for r in rows[2:])

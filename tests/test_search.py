@@ -119,11 +119,11 @@ def recall(spark, n, d, k, ef, shards=1, metric=Metric.COSINE):
     q = rng.uniform(-1, 1, (20, d)).astype(np.float32)
     df = in_memory(spark, [(v, {}, None) for v in x.tolist()])
     graph = hnsw.build(df, metric, shards=shards).cache()
-    exact = flat.scores(x, q, np.sqrt((q * q).sum(axis=1)), metric)
+    exact = np.array([flat.sequential_scores(x.T, y, metric) for y in q])
     out = {}
     for e in ef:
         found = {}
-        for r in hnsw.search(df, graph, q.tolist(), k, metric, shards=shards, ef_search=e).collect():
+        for r in hnsw.search(graph, q.tolist(), k, metric, ef_search=e).collect():
             found.setdefault(r["qid"], set()).add(r["id"])
         out[e] = np.mean([len(found[i] & set(np.argsort(-exact[i])[:k].tolist())) / k for i in range(20)])
     return out
@@ -143,21 +143,45 @@ def test_sharded_graph_recall(spark):
 def test_graph_small(spark, metric):
     df = in_memory(spark, [(v, {}, None) for v in AXES])
     graph = hnsw.build(df, metric)
-    got = hnsw.search(df, graph, [[1, 0, 0]], 10, metric).collect()
+    got = hnsw.search(graph, [[1, 0, 0]], 10, metric).collect()
     want = search_plan(df, M.query_vector([1, 0, 0]), 10, metric).collect()
     assert len(got) == 3 and all(abs(a["score"] - b["score"]) < 1e-6 for a, b in zip(got, want, strict=True))
-    assert hnsw.search(df, graph, [[1, 0, 0]], 0, metric).count() == 0
+    assert hnsw.search(graph, [[1, 0, 0]], 0, metric).count() == 0
 
 
 def test_graph_form(spark):
     df = in_memory(spark, [([i, 1], {}, None) for i in range(300)])
-    graph = hnsw.build(df, Metric.EUCLIDEAN, HnswParams(m=4, ef_construction=20)).cache()
+    shards = hnsw.build(df, Metric.EUCLIDEAN, HnswParams(m=4, ef_construction=20), 2).cache()
+    graph = hnsw.export_links(shards).cache()
     for r in graph.collect():
         assert len(r["nbr"]) == len(r["dist"]) <= (8 if r["layer"] == 0 else 4)
     assert graph.filter("layer = 0").count() == 300
-    e = hnsw.entries(graph).first()
-    assert e["max_layer"] == graph.agg(F.max("layer")).first()[0]
-    assert sorted(map(str, hnsw.build(df, Metric.EUCLIDEAN, HnswParams(m=4, ef_construction=20)).collect())) == sorted(map(str, graph.collect()))
+    assert max(e["max_layer"] for e in hnsw.entries(graph).collect()) == graph.agg(F.max("layer")).first()[0]
+    packed = lambda d: sorted(map(tuple, d.collect()))
+    assert packed(hnsw.build(df, Metric.EUCLIDEAN, HnswParams(m=4, ef_construction=20), 2)) == packed(shards)
+    assert packed(hnsw.import_links(df, graph, 2)) == packed(shards)
+
+
+def test_graph_search_plan_moves_results_only(spark, tmp_path):
+    df = in_memory(spark, [([i, 1], {}, None) for i in range(50)])
+    hnsw.build(df, Metric.COSINE, shards=4).write.parquet(str(tmp_path / "g"))
+    plan = hnsw.search(spark.read.schema(hnsw.SHARD_SCHEMA).parquet(str(tmp_path / "g")), [[1, 0]], 5, Metric.COSINE)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_knn_join_far_from_the_origin_and_with_ties(spark):
+    rng = np.random.default_rng(2)
+    x = (100 + 0.01 * rng.normal(size=(200, 8))).astype(np.float32)
+    df = in_memory(spark, [(v, {}, None) for v in x.tolist()]).repartition(3)
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 200, 50)], "qid long, vector array<float>")
+    got = flat.knn_join(queries, df, 10, Metric.EUCLIDEAN).collect()
+    assert all(r["id"] == r["qid"] and r["score"] == 1 for r in got if r["rank"] == 1)
+    for i in (0, 50):
+        want = search_plan(df, M.query_vector(x[i].tolist()), 10, Metric.EUCLIDEAN).collect()
+        assert [(w["id"], w["score"]) for w in want] == sorted(((r["id"], r["score"]) for r in got if r["qid"] == i), key=lambda r: (-r[1], r[0]))
+    same = np.ones((4000, 4), np.float32)
+    row, col, _ = flat.best_of_block(same, np.arange(4000)[::-1], same[:50], 10, Metric.COSINE)
+    assert len(row) == 500 and (np.sort(col.reshape(50, 10), axis=1) == np.arange(3990, 4000)).all()
 
 
 def test_parsers_and_ids(spark):
