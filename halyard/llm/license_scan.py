@@ -16,6 +16,8 @@ ignored. The catalogue is a parameter: any (license_id, text) table.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,44 +107,58 @@ CATALOGUE = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    # whole texts as published, in files named by their ids
+    *((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))),
 ]
 
-#: A line that is a copyright notice (with a sign, year or holder's bracket), or
-#: the rights reserved with it; a wrapped line that begins "copyright notice" is text.
-COPYRIGHT = r"^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that is a copyright notice, behind comment marks or not: with a sign, year
+#: or holder's bracket, or made of capitalised words, years and addresses (a wrapped
+#: line of prose that begins "copyright notice" or an item "(c) You must" is text);
+#: and the rights reserved with it.
+_WORD = r"(?:[A-Z0-9][^ \t\n]*|and|of|the|by|for|&|-|<[^>\n]*>|\([^)\n]*\))"
+COPYRIGHT = (
+    r"^[ \t#*/;%!<>-]*(?:"
+    r"(?i:(?:portions[ \t]+)?copyright[ \t:,]*(?:\(c\)|©|[0-9<\[])|\(c\)[ \t]*(?:copyright|©|[0-9<\[])|©|all rights reserved)[^\n]*"
+    rf"|(?:[Pp]ortions[ \t]+)?(?:[Cc]opyright[ \t:,]+|\([Cc]\)[ \t]+){_WORD}(?:[ \t]+{_WORD})*[ \t]*$)"
+)
 
 
 def _lines(text: Column) -> Column:
     """The text's lines in canonical form, but for spellings of two words."""
-    c = F.regexp_replace(F.coalesce(text, F.lit("")), "(?idm)" + COPYRIGHT, "")
+    c = F.regexp_replace(F.coalesce(text, F.lit("")), "(?dm)" + COPYRIGHT, "")
     c = F.lower(F.regexp_replace(c, r"[^A-Za-z0-9\n]+", " "))  # ASCII by now
-    c = F.concat(F.lit(" "), F.replace(c, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    # every word between two spaces of its own, so that neighbours both are found
+    c = F.replace(F.concat(F.lit(" "), F.replace(c, F.lit("\n"), F.lit(" \n ")), F.lit(" ")), F.lit(" "), F.lit("  "))
     for found, put in EQUIVALENT:
         if " " not in found:
             c = F.replace(c, F.lit(f" {found} "), F.lit(f" {put} "))
-    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(F.replace(x, F.lit("  "), F.lit(" ")))), lambda x: x != "")
 
 
 def _pairs(line: Column) -> Column:
     """Unifies the spellings of two words."""
-    c = F.concat(F.lit(" "), line, F.lit(" "))
+    c = F.concat(F.lit(" "), F.replace(line, F.lit(" "), F.lit("  ")), F.lit(" "))
     for found, put in EQUIVALENT:
         if " " in found:
-            c = F.replace(c, F.lit(f" {found} "), F.lit(f" {put} "))
-    return F.trim(c)
+            c = F.replace(c, F.lit(f" {found.replace(' ', '  ')} "), F.lit(f" {put} "))
+    return F.trim(F.replace(c, F.lit("  "), F.lit(" ")))
+
 
+def digests(text: Column) -> Column:
+    """whole: SHA-256 of the canonical whole text, null if that is empty; lines: of
+    its canonical lines that aren't empty. The lines are made once for both."""
 
-def digests(text: Column) -> tuple[Column, Column]:
-    """SHA-256 of the canonical whole text, null if that is empty, and of its
-    canonical lines that aren't empty."""
-    whole = F.sha2(_pairs(F.array_join(_lines(text), " ")), 256)
-    return F.nullif(whole, F.sha2(F.lit(""), 256)), F.transform(_lines(text), lambda x: F.sha2(_pairs(x), 256))
+    def of(lines: Column) -> Column:
+        whole = F.sha2(_pairs(F.array_join(lines, " ")), 256)
+        return F.struct(F.nullif(whole, F.sha2(F.lit(""), 256)).alias("whole"), F.transform(lines, lambda x: F.unhex(F.sha2(_pairs(x), 256))).alias("lines"))
+
+    return F.element_at(F.transform(F.array(_lines(text)), of), 1)
 
 
 def catalogue(spark, texts=tuple(CATALOGUE)) -> DataFrame:
     """license_id and digest of the known licences, one row a digest."""
     rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in texts])
-    known = spark.range(1).select(F.explode(rows).alias("r")).select("r.license_id", digests(F.col("r.text"))[0].alias("digest"))
+    known = spark.range(1).select(F.explode(rows).alias("r")).select("r.license_id", digests(F.col("r.text"))["whole"].alias("digest"))
     return known.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -150,8 +166,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (of the whole text), n_license_lines and
     line_licenses (distinct, sorted, comma-joined) of every row."""
     known = catalogue(docs.sparkSession) if known is None else known
-    whole, lines = digests(F.col("text").cast("string"))
-    d = materialize(docs.select("doc_id", whole.alias("digest"), F.transform(lines, lambda x: F.unhex(x)).alias("lines")), "license-digests")
+    d = docs.select("doc_id", digests(F.col("text").cast("string")).alias("both"))
+    d = materialize(d.select("doc_id", F.col("both.whole").alias("digest"), F.col("both.lines").alias("lines")), "license-digests")
     at_line = known.select(F.unhex("digest").alias("line"), F.col("license_id").alias("id"))
     found = d.select("doc_id", F.explode("lines").alias("line")).join(at_line, "line").groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
     out = d.join(known, "digest", "left").join(found.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
@@ -163,21 +179,21 @@ def _sql_text(s: str) -> str:
 
 
 def _sql_lines(text: str) -> str:
-    c = f"regexp_replace(coalesce({text}, ''), {_sql_text('(?im)' + COPYRIGHT)}, '', 'g')"
+    c = f"regexp_replace(coalesce({text}, ''), {_sql_text('(?m)' + COPYRIGHT)}, '', 'g')"
     c = f"lower(regexp_replace({c}, '[^A-Za-z0-9\\n]+', ' ', 'g'))"
-    c = f"' ' || replace({c}, chr(10), ' ' || chr(10) || ' ') || ' '"
+    c = f"replace(' ' || replace({c}, chr(10), ' ' || chr(10) || ' ') || ' ', ' ', '  ')"
     for found, put in EQUIVALENT:
         if " " not in found:
             c = f"replace({c}, ' {found} ', ' {put} ')"
-    return f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    return f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(replace(x, '  ', ' '))), lambda x: x <> '')"
 
 
 def _sql_pairs(line: str) -> str:
-    c = f"' ' || {line} || ' '"
+    c = f"' ' || replace({line}, ' ', '  ') || ' '"
     for found, put in EQUIVALENT:
         if " " in found:
-            c = f"replace({c}, ' {found} ', ' {put} ')"
-    return f"trim({c})"
+            c = f"replace({c}, ' {found.replace(' ', '  ')} ', ' {put} ')"
+    return f"trim(replace({c}, '  ', ' '))"
 
 
 SQL = f"""
