@@ -3,12 +3,12 @@
 Reading (any MPEG-1/2/2.5 stream, layers I to III): ID3v2 tags are parsed and
 skipped, frame headers are followed one by one, and after bytes that are no
 header the reader resynchronises on the next header that another of its kind (or
-the end) follows. Checksums of layer III frames are verified (not those of layers I
-and II, whose protected bits depend on the allocation), Xing/Info and VBRI tables
-parsed (their frame counts and seek points), an ID3v1 tag at the end recognised
+the end) follows. Checksums are verified in all layers (over the side information
+of layer III, the bit allocation of layer I, allocation and scale-factor selection
+of layer II), Xing/Info and VBRI tables parsed (their frame counts and seek points), an ID3v1 tag at the end recognised
 unless a frame that is followed runs over its start and ends with another or the end.
-Durations are exact: samples over sample rate, not seconds in floating point;
-every frame's byte offset is a seek point.
+Durations are exact: samples over sample rate, summed over the rates of a stream, as
+a fraction; every frame's byte offset is a seek point and is stored.
 
 Writing: a payload of 576-byte units becomes a valid layer III stream, a unit to
 a frame (44.1 kHz mono, 192 kbit/s: 626 bytes), placed in the frame's ancillary
@@ -18,7 +18,8 @@ Xing table with 100 seek points.
 
 Defined cases: a null text is an empty text and has one unit of bytes 255; equal
 texts give equal media; null doc_ids and repeated rows pass through; bytes that
-hold no frame have no frames, and duration 0; an empty table gives none; other
+hold no frame have no frames, and duration 0; a stream that :func:`write` did not
+make holds no payload, whatever its tags say; an empty table gives none; other
 columns are ignored.
 """
 
@@ -28,7 +29,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
-from math import gcd
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,7 @@ class Header:
     kbps: int
     rate: int
     mono: bool
+    bound: int  # subbands below it have a channel's own allocation each
     length: int
     samples: int
 
@@ -92,7 +94,9 @@ def header(word: int) -> Header | None:
         kbps, rate, pad = KBPS[1 if version == 1 else 2, layer][bits], HERTZ[version][freq], word >> 9 & 1
         samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
         length = (12000 * kbps // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + pad
-        found = Header(version, layer, not word >> 16 & 1, kbps, rate, word >> 6 & 3 == 3, length, samples)
+        mode = word >> 6 & 3
+        bound = 0 if mode == 3 else 4 * (word >> 4 & 3) + 4 if mode == 1 else 32
+        found = Header(version, layer, not word >> 16 & 1, kbps, rate, mode == 3, bound, length, samples)
     if len(_headers) < 4096:
         _headers[word] = found
     return found
@@ -116,6 +120,40 @@ def frame_checksums(raw: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
     return crc
 
 
+def allocation_bits(h: Header) -> list[int]:
+    """Bits of each subband's allocation in layers I and II."""
+    if h.layer == 1:
+        return [4] * 32
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h.kbps if h.mono else h.kbps // 2
+    if each < 56:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (7 if each >= 96 and h.rate != 48000 else 4)
+
+
+def bitwise_checksum(frame: bytes, h: Header) -> int:
+    """CRC-16 of a layer I or II frame: the last two header bytes, the allocation
+    and, in layer II, two bits for each subband and channel that has some."""
+    value, total = int.from_bytes(frame), 8 * len(frame)
+    take = lambda at, n: value >> max(0, total - at - n) & (1 << n) - 1
+    at, used = 48, 0
+    for band, bits in enumerate(allocation_bits(h)):
+        if h.mono or band >= h.bound:
+            used += bool(take(at, bits)) * (1 if h.mono else 2)
+            at += bits
+        else:
+            used += bool(take(at, bits)) + bool(take(at + bits, bits))
+            at += 2 * bits
+    at += 2 * used * (h.layer == 2)
+    crc = 0xFFFF
+    for start, stop in ((16, 32), (48, at)):
+        for k in range(start, stop):
+            crc = (crc << 1) ^ (0x8005 if (crc >> 15 ^ take(k, 1)) & 1 else 0)
+            crc &= 0xFFFF
+    return crc
+
+
 @dataclass
 class Stream:
     tags: dict[str, str] = field(default_factory=dict)
@@ -135,11 +173,13 @@ class Stream:
 
     @property
     def duration(self) -> tuple[int, int]:
-        """Seconds as a reduced fraction (rates don't change within a stream
-        that is followed; where they do, the first frame's rate counts)."""
-        n, d = self.samples, self.heads[0].rate if self.heads else 1
-        g = gcd(n, d) or 1
-        return n // g, d // g
+        """Seconds as a reduced fraction; where the rate changes, as it can where
+        streams were joined, each frame counts at its own."""
+        by_rate: dict[int, int] = {}
+        for h in self.heads:
+            by_rate[h.rate] = by_rate.get(h.rate, 0) + h.samples
+        total = sum((Fraction(n, rate) for rate, n in by_rate.items()), Fraction(0))
+        return total.numerator, total.denominator
 
 
 def _id3v2(data: bytes, at: int, out: Stream) -> int:
@@ -197,9 +237,9 @@ def parse(data: bytes) -> Stream:
             at = tag
             continue
         h = header(word(at)) if at + 4 <= end else None
-        if h is None or at + h.length > end or synced and h.kind != synced:
+        if h is None or at + h.length > end:
             h = None
-        elif synced is None or at < v1 < at + h.length:  # a header counts once another of its kind follows it
+        elif h.kind != synced or at < v1 < at + h.length:  # a header counts once another of its kind follows it
             nxt = at + h.length
             follows = header(word(nxt)) if nxt + 4 <= end else None
             if not (nxt in (v1, end) or follows and follows.kind == h.kind or data[nxt : nxt + 3] == b"ID3"):
@@ -218,8 +258,12 @@ def parse(data: bytes) -> Stream:
         first = False
         at += h.length
     raw = np.frombuffer(data, np.uint8)
+    for at, h in zip(out.frames, out.heads, strict=True):
+        if h.checked and h.layer != 3:
+            out.checked += 1
+            out.damaged += bitwise_checksum(data[at : at + h.length], h) != int.from_bytes(data[at + 4 : at + 6])
     checked = np.array([i for i, h in enumerate(out.heads) if h.checked and h.layer == 3], int)
-    out.checked = len(checked)
+    out.checked += len(checked)
     if len(checked):
         offsets = np.array(out.frames)[checked]
         sides = np.array([out.heads[i].side_info for i in checked])
@@ -267,7 +311,9 @@ def write(payload: bytes, n_bytes: int) -> bytes:
 
 
 def payload(data: bytes, s: Stream) -> bytes:
-    """The units that a stream made by :func:`write` holds."""
+    """The units that a stream made by :func:`write` holds; of any other, none."""
+    if any(h != _HEAD for h in s.heads):
+        return b""
     raw = np.frombuffer(data, np.uint8)
     at = np.array(s.frames, int)
     return raw[at[:, None] + np.arange(_AT, _AT + UNIT)].tobytes() if len(at) else b""
@@ -332,9 +378,10 @@ def _arrow_types(schema: str) -> list[pa.DataType]:
 
 
 def audio_features(docs: DataFrame) -> DataFrame:
-    """Store every text as audio, read the stored bytes back, and report."""
+    """Store every text as audio, read the stored bytes back, and report; with the
+    duration and the byte offset of every frame."""
     stored = materialize(media_column(docs), "media")
-    p = parsed(stored, seek=False)
+    p = parsed(stored)
     feature = F.concat_ws(
         ";",
         *[
@@ -351,4 +398,4 @@ def audio_features(docs: DataFrame) -> DataFrame:
             }.items()
         ],
     )
-    return p.select("doc_id", F.col("tags")["TXXX:bytes"].cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return p.select("doc_id", F.col("tags")["TXXX:bytes"].cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "seconds_num", "seconds_den", "seek")

@@ -1,7 +1,9 @@
 import hashlib
 import struct
 import zlib
+from fractions import Fraction
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,6 +58,66 @@ def test_tables_and_checksums():
     assert ma.parse(b"").frames == [] and ma.parse(b"\xff" * 50).duration == (0, 1)
 
 
+def plain_crc(bits):
+    """Remainder of the polynomial division, on a string of bits."""
+    reg = [1] * 16
+    for b in bits:
+        top = reg[0] ^ int(b)
+        reg = [*reg[1:], 0]
+        if top:
+            reg = [x ^ y for x, y in zip(reg, map(int, f"{0x8005:016b}"), strict=True)]
+    return int("".join(map(str, reg)), 2)
+
+
+def test_checksums_of_layers_one_and_two():
+    rng = np.random.default_rng(2)
+    # version, layer, rate index, bit-rate index, mode bits -> allocation bits by subband (channel's own below the bound)
+    cases = [
+        (3, 3, 0, 9, 0, [8] * 32),
+        (3, 3, 1, 9, 3, [4] * 32),
+        (3, 3, 2, 9, 1, [8] * 4 + [4] * 28),
+        (3, 2, 0, 10, 0, [8] * 11 + [6] * 12 + [4] * 7),  # 192 kbit/s stereo
+        (3, 2, 1, 10, 0, [8] * 11 + [6] * 12 + [4] * 4),
+        (3, 2, 0, 2, 3, [4] * 2 + [3] * 6),  # 48 kbit/s mono
+        (3, 2, 2, 2, 3, [4] * 2 + [3] * 10),
+        (2, 2, 0, 8, 3, [4] * 4 + [3] * 7 + [2] * 19),
+    ]
+    for version, layer, freq, bits, mode, allocation in cases:
+        w = word(version, layer, 0, bits, freq, 0, mode)
+        h = ma.header(w)
+        zero = bytearray(struct.pack(">I", w).ljust(h.length, b"\0"))
+        s = "".join(f"{b:08b}" for b in zero)
+        assert ma.bitwise_checksum(bytes(zero), h) == plain_crc(s[16:32] + s[48 : 48 + sum(allocation)])
+        f = bytearray(struct.pack(">I", w) + rng.integers(0, 256, h.length - 4, np.uint8).tobytes())
+        s, at, used = "".join(f"{b:08b}" for b in f), 48, 0
+        for n in allocation:
+            own = 1 if mode == 3 or n <= 4 and mode != 0 else 2
+            for part in range(own):
+                on = int(s[at + part * n // own : at + (part + 1) * n // own], 2) > 0
+                used += on * (1 if own == 2 or mode == 3 else 2)
+            at += n
+        crc = plain_crc(s[16:32] + s[48 : at + (2 * used if layer == 2 else 0)])
+        assert ma.bitwise_checksum(bytes(f), h) == crc
+        f[4:6] = struct.pack(">H", crc)
+        got = ma.parse(bytes(f) * 3)
+        assert (got.checked, got.damaged) == (3, 0)
+        f[3] ^= 0x08  # the copyright bit
+        assert ma.parse(bytes(f) * 3).damaged == 3
+
+
+def test_joined_streams_of_two_rates():
+    s = ma.parse(frame(freq=0) * 3 + frame(freq=2) * 2)
+    assert Fraction(*s.duration) == Fraction(3 * 1152, 44100) + Fraction(2 * 1152, 32000)
+
+
+def test_foreign_streams_hold_no_payload(spark):
+    tag = ma._text_frame("TXXX", "bytes\0many")
+    data = b"ID3\x03\0\0" + bytes((len(tag) >> s) & 127 for s in (21, 14, 7, 0)) + tag + frame() * 3
+    row = ma.parsed(spark.createDataFrame([(1, bytearray(data)), (2, None)], "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert (row[0]["payload_bytes"], row[0]["n_frames"], row[0]["tags"]["TXXX:bytes"]) == (0, 3, "many")
+    assert list(row[0]["seek"]) == [len(data) - 3 * 417 + i * 417 for i in range(3)] and row[1]["n_frames"] == 0
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(max_size=3000))
 def test_round_trip(text):
