@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling (native).
 
 Every document gets the exponential key ``-ln(u) / weight``: ``u`` is a uniform
-number derived from its doc_id (so reruns agree), ``weight`` its quality weight.
+number derived from its doc_id and text (so reruns agree), ``weight`` its quality weight.
 Sorted by that key within its source, a document is taken while the running sum
 of sizes stays below the source's token budget. Where a budget exceeds the
 source, complete epochs come first and only the rest is selected by key.
@@ -13,10 +13,11 @@ only the rows of one lower bin are ever sorted together, so a source that holds
 a third of all rows spreads over 65,536 tasks' worth of keys.
 
 Defined cases: null text has size 0; null source is a source of its own, ordered
-last; a null doc_id draws the key of the empty string; repeated rows are
-documents of their own (their keys tie, the ties are broken by row content, and
-fully equal rows are interchangeable); an empty table gives an empty result; a
-source whose documents are all empty has target 0. Other columns are ignored.
+last; a row's key is drawn from its doc_id and text, so rows that share a doc_id,
+or have none, are documents of their own (fully equal rows tie and are
+interchangeable: :func:`mix_documents` takes all of them or none); an empty table
+gives an empty result; a source whose documents are all empty has target 0. Other
+columns are ignored, or kept whatever their names by :func:`mix_documents`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_name, materialize
 
 #: Weights of the sources in code-point order, repeating.
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -51,16 +52,18 @@ def quality_weight(chars: Column, size: Column) -> Column:
     return F.when((mean >= 4) & (mean <= 13), 1.0).otherwise(0.5) * F.when(size >= 16, 1.0).otherwise(0.75)
 
 
-def es_key(doc_id: Column, weight: Column, seed: str = "mix") -> Column:
-    """Exponential key, ascending: heavier documents tend to come first."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def es_key(doc_id: Column, text: Column, weight: Column, seed: str = "mix") -> Column:
+    """Exponential key, ascending: heavier documents tend to come first. The text
+    is part of it, so rows without a doc_id, or of one, have keys of their own."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1) / F.lit(float(2**52 + 1))
     return -F.log(u) / weight
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    return d.withColumn("key", es_key(F.col("doc_id"), quality_weight(F.col("chars"), F.col("size"))))
+    text = F.col("text").cast("string")
+    d = docs.select("doc_id", "source", word_count(text).alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), text.alias("text"))
+    return d.withColumn("key", es_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("chars"), F.col("size")))).drop("text")
 
 
 def source_targets(sizes: DataFrame, weights=SOURCE_WEIGHTS, share: float = TOTAL_SHARE, most: int = MAX_EPOCHS) -> DataFrame:
@@ -131,24 +134,27 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     whose skewed sources adaptive execution splits.
     """
     m = mix(docs)
-    ends = m.groupBy("source").agg(F.max("epochs").alias("_epochs"), F.max(F.when(F.col("start_words") < F.col("rest"), F.struct("key", "doc_id"))).alias("_end"))
-    ends = materialize(ends, "mix-ends")
-    cols = docs.columns
-    size, chars = word_count(F.col("text")), F.coalesce(F.length("text"), F.lit(0))
-    d = docs.withColumn("_size", size).withColumn("_key", es_key(F.col("doc_id"), quality_weight(chars, F.col("_size"))))
-    d = _null_safe(d, ends, ["source"])
-    picked = F.coalesce(F.struct(F.col("_key").alias("key"), F.col("doc_id")) <= F.col("_end"), F.lit(False)) & (F.col("_size") > 0)
-    copies = (F.when(F.col("_size") > 0, F.col("_epochs")).otherwise(0) + picked.cast("long")).cast("int")
-    return d.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*cols)
+    ends = m.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("start_words") < F.col("rest"), F.struct("key", "doc_id"))).alias("end"))
+    names = {}
+    for c in ("epochs", "end", "size", "key", "copy", "mixed"):
+        names[c] = fresh_name(c, [*docs.columns, *names.values()])
+    ends = materialize(ends.select(F.col("source").alias(names["mixed"]), F.col("epochs").alias(names["epochs"]), F.col("end").alias(names["end"])), "mix-ends")
+    text, doc_id, size = F.col("text").cast("string"), F.col("doc_id"), F.col(names["size"])
+    d = docs.withColumn(names["size"], word_count(text))
+    d = d.withColumn(names["key"], es_key(doc_id, text, quality_weight(F.coalesce(F.length(text), F.lit(0)), size)))
+    d = d.join(ends, F.col("source").eqNullSafe(F.col(names["mixed"])))
+    picked = F.coalesce(F.struct(F.col(names["key"]).alias("key"), doc_id.alias("doc_id")) <= F.col(names["end"]), F.lit(False)) & (size > 0)
+    copies = (F.when(size > 0, F.col(names["epochs"])).otherwise(0) + picked.cast("long")).cast("int")
+    return d.withColumn(names["copy"], F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(length(text), 0) AS chars,
+  SELECT doc_id, source, coalesce(length(text), 0) AS chars, md5(coalesce(text, '')) AS digest,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 k AS (
-  SELECT *, -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 1) / 4503599627370497.0::DOUBLE)
+  SELECT *, -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '') || digest), 1, 13))::BIGINT + 1) / 4503599627370497.0::DOUBLE)
     / ((CASE WHEN chars::DOUBLE / greatest(size, 1) BETWEEN 4 AND 13 THEN 1.0 ELSE 0.5 END)::DOUBLE
        * (CASE WHEN size >= 16 THEN 1.0 ELSE 0.75 END)::DOUBLE) AS key
   FROM d),

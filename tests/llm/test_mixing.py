@@ -54,6 +54,23 @@ def test_cases(spark):
     assert mixing.mix_documents(df).columns == df.columns
 
 
+def test_rows_without_doc_id_have_keys_of_their_own(spark):
+    rows = [(None, f"text {i} w", "a", "") for i in range(500)] + [(7, f"other {i} w", "a", "") for i in range(500)] + [(9000 + i, "w w", "b", "") for i in range(3000)]
+    out = [r for r in got(spark, rows) if r["source"] == "a"]
+    assert len({r["key"] for r in out}) == 1000
+    assert sum(r["taken"] for r in out) == round(out[0]["target"])
+    mixed = mixing.mix_documents(spark.createDataFrame(rows, SCHEMA)).filter("source = 'a'").groupBy("doc_id", "text").count().collect()
+    assert abs(3 * sum(r["count"] for r in mixed) - out[0]["target"]) <= 3
+
+
+def test_any_column_names(spark):
+    names = ["_size", "_key", "size", "key", "copy", "end", "epochs", "mixed", "chars", "Key_"]
+    rows = [(i, "some words here", "a", *[f"{n}{i}" for n in names]) for i in range(20)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` string" for n in names)]))
+    out = mixing.mix_documents(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= set(rows) and out.count() == 30
+
+
 def test_heavier_documents_come_first(spark):
     text = ["good words here " * 20, "a b " * 30]
     rows = [(i, text[i % 2], "a", "") for i in range(4000)] + [(9000 + i, "other text " * 10, "b", "") for i in range(9000)]
