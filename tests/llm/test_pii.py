@@ -1,3 +1,4 @@
+import itertools
 import hashlib
 import re
 
@@ -89,6 +90,25 @@ def test_repeats_do_not_hide_the_base_span(spark):
         assert r["n_added"] == 60 and r["n_phone"] + r["n_email"] == 1
 
 
+def test_propagation_equals_enumeration_on_trees():
+    rng = np.random.default_rng(3)
+    n = len(pii.KINDS) + 1
+    model = pii.Field(rng.normal(size=(len(pii.FEATURES), n)), *(m + m.T for m in rng.normal(size=(2, n, n))))
+    for label in ([0, 2, 0, 0], [1, 0, 0, 2]):
+        label, x = np.array(label), rng.integers(1, 1 << len(pii.FEATURES), 4)
+        chain, skip = np.array([(0, 1), (1, 2)]), np.array([(1, 3)] if label[1] else [(0, 3)])
+        allowed = pii.kinds_in_reach(label, skip)
+        weight = np.zeros((4, n))
+        for y in itertools.product(range(n), repeat=4):
+            if any(label[i] not in (0, y[i]) or not allowed[i, y[i]] for i in range(4)):
+                continue
+            z = sum((pii._bits(x[i : i + 1]) @ model.unary)[0, y[i]] for i in range(4) if not label[i])
+            z += sum(model.chain[y[a], y[b]] for a, b in chain) + sum(model.skip[y[a], y[b]] for a, b in skip)
+            weight[range(4), y] += np.exp(z)
+        want = weight / weight.sum(axis=1, keepdims=True)
+        assert np.abs(pii.marginals(model, x, label, chain, skip) - want).max() < 0.01
+
+
 def test_edges_reach_every_mention():
     t = "a 743 555 3824 " * 200 + "b +1 (743) 555-3824 c " + "d 5553824 " * 200
     spans, regions = pii.base_spans(t)
