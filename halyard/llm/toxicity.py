@@ -50,7 +50,7 @@ MIN_Z, MIN_PAIR_Z = 5.0, 7.0
 #: this share: rarer ones meet too seldom for a pair to be told from chance.
 PAIR_SHARE = 1 / 64
 #: Terms on a side of a block of pairs.
-TILE = 512
+TILE = 128
 FACTORS = 4
 THRESHOLD = 0.3
 
@@ -112,15 +112,24 @@ def interactions(y: np.ndarray, p: np.ndarray, texts: list[np.ndarray], n_terms:
     """(a, b, z) of the pairs a < b of terms for which the labels ``y`` less their
     probabilities ``p``, summed over the texts with both, are ``min_z`` standard
     errors from none, the strongest first."""
-    has = np.zeros((n_terms, len(texts)), bool)
-    for k, t in enumerate(texts):
-        has[t, k] = True
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    term = np.concatenate(texts).astype(np.int32)
+    order = np.argsort(term, kind="stable")
+    text, term = text[order], term[order]
+
+    def tile(i: int) -> np.ndarray:
+        """Which texts hold the terms from i on."""
+        part = slice(*np.searchsorted(term, [i, i + TILE]))
+        has = np.zeros((min(TILE, n_terms - i), len(texts)), np.float32)
+        has[term[part] - i, text[part]] = 1
+        return has
+
     out = []
     for i in range(0, n_terms, TILE):
-        a = has[i : i + TILE].astype(np.float32)
+        a = tile(i)
         pull, spread = a * (y - p).astype(np.float32), a * (p * (1 - p)).astype(np.float32)
         for j in range(i, n_terms, TILE):
-            b = has[j : j + TILE].astype(np.float32).T
+            b = tile(j).T
             z = (pull @ b) / np.sqrt(spread @ b + np.float32(1e-6))
             r, c = np.nonzero(np.abs(z) >= min_z)
             out += [(x, w, float(v)) for x, w, v in zip((r + i).tolist(), (c + j).tolist(), z[r, c].tolist(), strict=True) if x < w]
