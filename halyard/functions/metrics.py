@@ -52,9 +52,15 @@ def magnitude(a: Column, precision: str = "float32") -> Column:
 def cosine_similarity(a: Column, b: Column, precision: str = "float32") -> Column:
     """0 where either vector has no magnitude."""
     kind = _kind(precision)
-    na, nb = magnitude(a, precision), magnitude(b, precision)
     zero = F.lit(0.0).cast(kind)
-    return F.when((na == 0) | (nb == 0), zero).otherwise(F.try_divide(dot_product(a, b, precision), (na * nb).cast(kind)).cast(kind))
+
+    def of(s: Column) -> Column:
+        both = (s["a"] * s["b"]).cast(kind)
+        return F.when((s["a"] == 0) | (s["b"] == 0), zero).otherwise(F.try_divide(s["dot"], both).cast(kind))
+
+    # bound once: a fold that is written twice is run twice
+    once = F.struct(dot_product(a, b, precision).alias("dot"), magnitude(a, precision).alias("a"), magnitude(b, precision).alias("b"))
+    return F.element_at(F.transform(F.array(once), of), 1)
 
 
 def distance(metric: Metric, a: Column, b: Column, precision: str = "float32") -> Column:

@@ -18,6 +18,9 @@ class FileSystem:
         p = self._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
 
+    def scheme(self, path: str) -> str:
+        return self._at(path)[0].getScheme()
+
     def exists(self, path: str) -> bool:
         fs, p = self._at(path)
         return fs.exists(p)

@@ -67,6 +67,8 @@ class CollectionStore:
     def __init__(self, spark: SparkSession, config: EngineConfig | None = None):
         self.spark, self.config = spark, config or EngineConfig()
         self.fs = FileSystem(spark)
+        if not spark.sparkContext.master.startswith("local") and self.fs.scheme(self.config.data_dir) == "file" and not self.config.data_dir.startswith("file:"):
+            raise RuntimeError("data_dir must name a folder that all executors share (file:... if that is a mounted one)")
 
     def path(self, id_: str, *parts: str) -> str:
         return "/".join([self.config.data_dir.rstrip("/"), id_, *parts])
@@ -254,7 +256,8 @@ class CollectionStore:
         (rows.repartitionByRange("id").sortWithinPartitions("id") if n else rows).write.option("maxRecordsPerFile", most).parquet(f"{at}/vectors")
         if m.index_type == IndexType.HNSW.value:
             stored = self.spark.read.schema(VECTORS_SCHEMA).parquet(f"{at}/vectors")
-            hnsw.build(stored, Metric(m.metric), m.hnsw, shards).write.parquet(f"{at}/graph")
+            most = max(1, FILE_BYTES // (self.config.rows_per_shard * (4 * m.dimension + 16 * m.m_max0)))
+            hnsw.build(stored, Metric(m.metric), m.hnsw, shards).write.option("maxRecordsPerFile", most).parquet(f"{at}/graph")
         streams = self._streams(m)
         for _, c in open_:
             if c["stream"] is not None:
