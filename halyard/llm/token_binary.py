@@ -14,7 +14,8 @@ Decoding is table lookup: a 256 x 4 table gives the lengths behind each control
 byte, their running sum the data positions, and four masked gathers the ranks.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are
-encoded each; null doc_ids come first; an empty table writes empty files.
+encoded each; null doc_ids come first; rows of one doc_id lie in the order of a
+hash of their ids; an empty table writes empty files.
 Other columns are ignored.
 """
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .common import discard, materialize
 
 #: Appended to each document.
@@ -42,6 +45,9 @@ BLOCK = 1 << 20
 #: White-space chunks whose ids a worker remembers (a bound on its memory only).
 REMEMBER = 1_500_000
 
+#: Bytes of text whose chunks are told apart together, about.
+TEXT_BLOCK = 8 << 20
+
 # chunks of printable ASCII and Latin-1 letters, and the tokenizer's words in them
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -64,10 +70,12 @@ class ChunkEncoder:
     """Ids of whole texts, white-space chunk by white-space chunk.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are its chunks' ids one after another; chunks repeat, so each is encoded
-    once. A chunk of printable ASCII and Latin-1 letters goes word by word to the
-    library's merge model, any other through the library's whole pipeline. Texts with the four control
-    characters that only Python counts as white space are encoded in one piece.
+    are its chunks' ids one after another. A block of texts is cut into chunks in
+    numpy and dictionary-encoded in Arrow; distinct chunks are looked up or encoded
+    once, and the block's ids are one gather. A chunk of printable ASCII and Latin-1
+    letters goes word by word to the library's merge model, any other through the
+    library's whole pipeline, and so does a whole text with white space outside
+    ASCII or with a control character that only Python counts as white space.
     """
 
     def __init__(self, path: str):
@@ -78,11 +86,12 @@ class ChunkEncoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _piece(self, part: str) -> bytes:
         got = self.parts.get(part)
@@ -94,8 +103,11 @@ class ChunkEncoder:
         return got
 
     def _chunk(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            got = b"".join(map(self._piece, _WORDS.findall(chunk.lower())))
+        low = chunk.lower()
+        if low.isascii() and low.isalpha():
+            got = self._piece(low)
+        elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            got = b"".join(map(self._piece, _WORDS.findall(low)))
         else:
             got = self._pack(self.whole.encode(chunk, add_special_tokens=False).ids)
         if len(self.chunks) < REMEMBER:
@@ -103,10 +115,59 @@ class ChunkEncoder:
         return got
 
     def encode(self, text: str) -> bytes:
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        known = self.chunks
-        return b"".join([known.get(c) or self._chunk(c) for c in text.split()])
+        raw, offsets = K.text_bytes(pa.array([text]))
+        return self.block(raw, offsets)[0].tobytes()
+
+    def block(self, raw: np.ndarray, offsets: np.ndarray, end: list[int] = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+        """Ids of all texts one after another, ``end`` behind each, and the number
+        before each text."""
+        odd = np.unique(np.searchsorted(offsets, _odd_places(raw), "right") - 1)
+        whole = np.zeros(len(offsets) - 1, bool)
+        whole[odd] = True
+        start, stop, first = K.words(raw, offsets, K.NOT_SPACE)
+        words = np.concatenate([[0], np.cumsum(stop - start)])
+        inside = raw[K.NOT_SPACE[raw]] if len(raw) else raw
+        chunks = pa.StringArray.from_buffers(len(start), pa.py_buffer(words.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(inside)))
+        coded = chunks.dictionary_encode()
+        known, make = self.chunks, self._chunk
+        blobs = [known.get(c) or make(c) for c in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        codes = coded.indices.to_numpy().astype(np.int64)
+        if len(odd):
+            keep = ~np.repeat(whole, np.diff(first))
+            count = np.where(whole, 1, np.diff(first))
+            texts = [raw[offsets[k] : offsets[k + 1]].tobytes().decode() for k in odd.tolist()]
+            own = len(blobs) + np.arange(len(odd))
+            blobs += [self._pack(self.whole.encode(t, add_special_tokens=False).ids) for t in texts]
+            at = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(first)))])
+            codes = np.insert(codes[keep], at[odd], own)
+            first = np.concatenate([[0], np.cumsum(count)])
+        if end:
+            codes = np.insert(codes, first[1:], len(blobs))
+            blobs.append(self._pack(end))
+            first = first + np.arange(len(first))
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // np.dtype(self.kind).itemsize
+        flat = np.frombuffer(b"".join(blobs), self.kind)
+        n = size[codes]
+        before = np.concatenate([[0], np.cumsum(n)])
+        shift = (np.cumsum(size) - size)[codes] - before[:-1]
+        return flat[np.repeat(shift, n) + np.arange(int(before[-1]))], before[first]
+
+
+def _odd_places(raw: np.ndarray) -> np.ndarray:
+    """Where white space outside ASCII begins in UTF-8, or one of the four control
+    characters that Python splits at and the tokenizer doesn't, stands."""
+    found = [np.flatnonzero((raw >= 0x1C) & (raw <= 0x1F))]
+    lead = np.flatnonzero(raw[:-1] >= 0xC2) if len(raw) else np.empty(0, np.int64)
+    lead = lead[np.isin(raw[lead], [0xC2, 0xE1, 0xE2, 0xE3])]
+    if len(lead):
+        more = np.concatenate([raw, np.zeros(2, np.uint8)])
+        two = more[lead].astype(np.int64) << 8 | more[lead + 1]
+        three = two << 8 | more[lead + 2]
+        found.append(lead[np.isin(two, _WIDE_SPACE) | np.isin(three, _WIDE_SPACE)])
+    return np.sort(np.concatenate(found))
+
+
+_WIDE_SPACE = [int.from_bytes(chr(c).encode()) for c in range(0x80, 0x3001) if chr(c).isspace()]
 
 
 def tokenizer_path(name: str) -> str:
@@ -124,12 +185,13 @@ def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, ChunkEncoder(tokenizer_path(tokenizer)))
-        end = enc._pack([end_id])
+        width = np.dtype(enc.kind).itemsize
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                s = b.slice(at, 512)
-                ids = [enc.encode(t or "") + end for t in s.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            raw, offsets = K.text_bytes(b.column(1))
+            for i, j in K.blocks(offsets, TEXT_BLOCK):
+                ids, before = enc.block(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], [end_id])
+                rows = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((before * width).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), rows], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
 
@@ -159,9 +221,7 @@ def rank_table(ids: DataFrame, width: type) -> DataFrame:
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    from .kernel import text_bytes
-
-    return text_bytes(column)
+    return K.text_bytes(column)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -234,7 +294,9 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int =
         if held:
             yield block()
 
-    placed = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # the second key spreads rows that share a doc_id, or have none, over partitions
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
+    placed = ids.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
     files = materialize(placed.mapInArrow(pack, FILES), "token-files", "none")
     discard(ids)
     return files, by_rank

@@ -2,10 +2,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from halyard.llm import kernel as K
 from halyard.llm import token_binary as tb
 
 SCHEMA = "doc_id long, text string, start string"
@@ -47,6 +49,29 @@ def test_chunks_equal_whole_texts(t):
     assert np.frombuffer(enc.encode(t), np.uint16).tolist() == enc.whole.encode(t, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abZ .,'1é\x1c\x85\xa0\u2003\u3000\u200b日\n", max_size=12), max_size=8))
+def test_blocks_of_texts_equal_the_library(texts):
+    path = public_tokenizers.path(tb.TOKENIZER)
+    enc = tb._loaded.setdefault("test", tb.ChunkEncoder(path)) if "test" not in tb._loaded else tb._loaded["test"]
+    raw, offsets = K.text_bytes(pa.array(texts, pa.string()))
+    ids, before = enc.block(raw, offsets, [2])
+    want = [enc.whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [ids[before[k] : before[k + 1]].tolist() for k in range(len(texts))] == want
+
+
+def test_rows_without_doc_id_are_dealt_out(spark):
+    rows = [(None, f"text {i} of many", "c") for i in range(2000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files, _ = tb.write_token_files(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.select("part").distinct().count() > 4
+    got = tb.token_binary(spark.createDataFrame(rows, SCHEMA)).orderBy("start").collect()
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist() and all(r["doc_id"] is None for r in got)
+
+
 def test_chunks_equal_whole_texts_of_the_corpus():
     import pyarrow.parquet as pq
 
