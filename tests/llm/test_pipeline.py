@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from halyard.llm import mixing, toxicity
+from halyard.llm.common import materialize
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_near_dup import brute as near
 
@@ -42,3 +43,33 @@ def test_stages_against_brute_force(spark):
         start += len(ids)
     assert sorted(map(tuple, cp.token_stage(spark, out, SF).collect())) == sorted(expected)
     assert sorted(map(tuple, cp.run(spark, SF).collect())) == sorted(expected)
+
+
+def _through(spark, docs):
+    out = []
+    for _, stage in cp.STAGES:
+        docs = materialize(stage(spark, docs, SF), "test-stage")
+        out.append(docs)
+    return out
+
+
+def test_cases_pass_all_stages(spark):
+    extra = ["gone", "hit", "n_hit", "_size", "key", "component_id", "kept", "score"]
+    long = "some quite ordinary words of a longer text " * 30
+    texts = [(None, long + "one"), (None, "no id here, as short as this"), (1, None), (2, ""), (3, "calm words that stand in two equal rows"), (3, "calm words that stand in two equal rows"), (4, long + "one"), (5, " \n\t "), (6, "word " * 20_000 + "end")]
+    rows = [(i, t, "en", None if i == 4 else "web", len(t or ""), *extra) for i, t in texts]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *(f"`{c}` string" for c in extra)]))
+    *stages, files = _through(spark, docs)
+    assert all(s.columns == docs.columns for s in stages)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in stages[2].collect())
+    assert kept == sorted((i or 0, t or "") for i, t in texts)  # nothing toxic, near or contaminated: rows without doc_id are near nothing
+    mixed = [(r["doc_id"], r["text"]) for r in stages[3].collect()]
+    assert {i for i, _ in mixed} <= {None, 3, 4, 6} and mixed
+    got = files.orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in mixed), key=lambda i: (i is not None, i or 0))
+    assert got[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
+def test_empty_tables_pass_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    assert [s.count() for s in _through(spark, docs)] == [0] * 5
