@@ -44,7 +44,9 @@ def got(spark, rows):
     return sorted((tuple(r) for r in nd.near_duplicates(df).collect()), key=str)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("crowd", [nd.CROWD, 3])
+def test_against_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(nd, "CROWD", crowd)
     rng = np.random.default_rng(5)
     vocab = [f"W{i}é" for i in range(4000)]
     line = " ".join(vocab[:10])
