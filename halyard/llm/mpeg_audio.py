@@ -36,7 +36,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel as K
 from .common import materialize
 
 UNIT = 576

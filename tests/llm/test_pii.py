@@ -1,5 +1,5 @@
-import itertools
 import hashlib
+import itertools
 import re
 
 import numpy as np
