@@ -82,8 +82,6 @@ def _filter_types(spark, sf_dir):
 
 
 def _engine(spark: SparkSession) -> Engine:
-    from ..sources.store import CollectionStore  # noqa: F401
-
     return Engine(spark, EngineConfig(data_dir=f"{_work_dir(spark)}/collections-{new_ulid()}"))
 
 
