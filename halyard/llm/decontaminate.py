@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import discard, fresh_name, materialize
+from .common import discard, fresh_name, lean, materialize
 
 WINDOW = 13
 PART_BYTES = 8 << 20
@@ -257,7 +257,7 @@ def _search(df: DataFrame, text_at: int, q, blank: bool) -> DataFrame:
                 state = [pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string())), *(pa.array(c, pa.int64()) for c in (longest, longest_at, np.diff(f.first), n_hit))]
                 yield pa.RecordBatch.from_arrays([*kept, *state], b.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, part_bytes: int, blank: bool) -> tuple[DataFrame, dict[str, str]]:
@@ -322,7 +322,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES)
 
     for part, last in _parts(benchmark, part_bytes):
         q = docs.sparkSession.sparkContext.broadcast(part)
-        found = d.mapInArrow(rows(q), "doc_id string, item_id string, doc_start long, item_start long, n_words long")
+        found = d.mapInArrow(lean(rows(q)), "doc_id string, item_id string, doc_start long, item_start long, n_words long")
         if not last:
             found = materialize(found, "decontaminate-matches")
             q.destroy()

@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import bucketed, discard, fresh_name, materialize
+from .common import bucketed, discard, fresh_name, lean, materialize
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union, unless the caller says otherwise.
@@ -96,7 +96,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array(c.view(np.int64)) for c in cols]], names)
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return d.mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the only time that texts move, and alike at every size
-    return d.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, parity array<long>, set array<long>")
+    return d.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(lean(run), "doc_id long, n long, parity array<long>, set array<long>")
 
 
 def parities(values: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
@@ -156,7 +156,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     y = sets.join(per.withColumnRenamed("y", "doc_id").hint("merge"), "doc_id")
     y = y.select(F.col("doc_id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"), F.col("set").alias("set_y"))
     both = salted.select("x", "y", "salt").hint("merge").join(x, "x").hint("merge").join(y, ["y", "salt"])
-    return both.select("x", "y", "set_x", "set_y").mapInArrow(run, "x long, y long").distinct()
+    return both.select("x", "y", "set_x", "set_y").mapInArrow(lean(run), "x long, y long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -35,15 +35,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import discard, materialize
+from .common import discard, lean, materialize
 
 #: Appended to each document.
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Ranks in a block, about.
 BLOCK = 1 << 20
-#: White-space chunks whose ids a worker remembers (a bound on its memory only).
-REMEMBER = 1_500_000
+#: Bytes of chunks, and of the words in them, whose ids a worker remembers, about (a
+#: bound on its memory only), and bytes of an entry besides its text and ids.
+CHUNK_BYTES, WORD_BYTES, ENTRY_BYTES = 32 << 20, 64 << 20, 150
 
 #: Bytes of text whose chunks are told apart together, about.
 TEXT_BLOCK = 8 << 20
@@ -66,6 +67,20 @@ _SYMBOLS = _byte_symbols()
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
+class Memory(dict):
+    """Ids by text, up to about ``most`` bytes: what comes later is not remembered,
+    and frequent texts come early."""
+
+    def __init__(self, most: int):
+        self.left = most
+
+    def put(self, text: str, ids: bytes) -> None:
+        size = len(text) + len(ids) + ENTRY_BYTES
+        if size <= self.left:
+            self.left -= size
+            self[text] = ids
+
+
 class ChunkEncoder:
     """Ids of whole texts, white-space chunk by white-space chunk.
 
@@ -87,8 +102,8 @@ class ChunkEncoder:
         self.model = self.whole.model
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.chunks = Memory(CHUNK_BYTES)
+        self.parts = Memory(WORD_BYTES)
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -98,8 +113,7 @@ class ChunkEncoder:
         if got is None:
             symbols = part if part.isascii() else part.translate(_SYMBOLS)
             got = self._pack([t.id for t in self.model.tokenize(symbols)])
-            if len(self.parts) < REMEMBER:
-                self.parts[part] = got
+            self.parts.put(part, got)
         return got
 
     def _chunk(self, chunk: str) -> bytes:
@@ -110,8 +124,7 @@ class ChunkEncoder:
             got = b"".join(map(self._piece, _WORDS.findall(low)))
         else:
             got = self._pack(self.whole.encode(chunk, add_special_tokens=False).ids)
-        if len(self.chunks) < REMEMBER:
-            self.chunks[chunk] = got
+        self.chunks.put(chunk, got)
         return got
 
     def encode(self, text: str) -> bytes:
@@ -193,7 +206,7 @@ def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID)
                 rows = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((before * width).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), rows], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(encode), "doc_id long, ids binary")
 
 
 def _width(tokenizer: str) -> type:
@@ -216,7 +229,7 @@ def rank_table(ids: DataFrame, width: type) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token_id", "n"])
 
-    n = ids.select("ids").mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    n = ids.select("ids").mapInArrow(lean(count), "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
     return n.select((F.row_number().over(W.orderBy(F.desc("n"), "token_id")) - 1).alias("rank"), "token_id", "n")
 
 
@@ -297,7 +310,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int =
     # the second key spreads rows that share a doc_id, or have none, over partitions
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
     placed = ids.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
-    files = materialize(placed.mapInArrow(pack, FILES), "token-files", "none")
+    files = materialize(placed.mapInArrow(lean(pack), FILES), "token-files", "none")
     discard(ids)
     return files, by_rank
 
@@ -323,7 +336,7 @@ def read_token_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
                 where = [pa.array(np.full(len(ends), v, np.int32)) for v in (part, seq)]
                 yield pa.RecordBatch.from_arrays([*where, pa.array(doc_ids, pa.int64(), mask=doc_ids == null), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    read = files.mapInArrow(unpack, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    read = files.mapInArrow(lean(unpack), "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return read.join(starts, ["part", "seq"]).select("doc_id", (F.col("block_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

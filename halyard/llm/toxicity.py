@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import discard, materialize
+from .common import discard, lean, materialize
 
 #: Labelled texts read of each class, at most.
 PER_CLASS = 10_000
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, min_z: f
                 p = np.bincount(where, label[i + text] == 1, len(terms)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int64)), pa.array(p), pa.array(np.bincount(where, minlength=len(terms)) - p)], ["term", "p", "n"])
 
-    counts = texts.mapInArrow(count, "term long, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counts = texts.mapInArrow(lean(count), "term long, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     share = (F.col("p") + F.col("n")) / F.lit(float(pos + neg))
     z = F.abs(F.col("p") / F.lit(float(pos)) - F.col("n") / F.lit(float(neg))) / F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg) + F.lit(1e-12))
     alone, paired = z >= min_z, share.between(PAIR_SHARE, 1 - PAIR_SHARE)
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, min_z: f
                 packed = [term[cut[k] : cut[k + 1]].astype("<i4").tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), pa.array(packed, pa.binary())], ["toxic", "terms"])
 
-    got = texts.mapInArrow(reduce, "toxic int, terms binary").toArrow()
+    got = texts.mapInArrow(lean(reduce), "toxic int, terms binary").toArrow()
     discard(sample, texts)
     rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     rows = [(t, np.frombuffer(x, "<i4")) for t, x in rows]
@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     d = docs.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = dict(d.dtypes)["doc_id"]
-    return d.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def _batch_scores(model: Model, column: pa.Array) -> np.ndarray:
@@ -299,4 +299,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for b in batches:
             yield b.filter(pa.array(_batch_scores(shared.value, b.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

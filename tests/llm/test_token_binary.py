@@ -1,4 +1,7 @@
+import resource
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +12,7 @@ from tokenizers import Tokenizer
 
 from halyard.llm import kernel as K
 from halyard.llm import token_binary as tb
+from halyard.llm.common import lean
 
 SCHEMA = "doc_id long, text string, start string"
 
@@ -80,6 +84,42 @@ def test_chunks_equal_whole_texts_of_the_corpus():
         assert np.frombuffer(enc.encode(t), np.uint16).tolist() == enc.whole.encode(t, add_special_tokens=False).ids
 
 
+def test_remembered_bytes_are_bounded(monkeypatch):
+    most = 200_000
+    for name in ("CHUNK_BYTES", "WORD_BYTES"):
+        monkeypatch.setattr(tb, name, most, raising=False)
+    enc = tb.ChunkEncoder(public_tokenizers.path(tb.TOKENIZER))
+    texts = [f"the word{k} " + "q" * (k % 3000) + f"{k}" for k in range(3000)]
+    raw, offsets = K.text_bytes(pa.array(texts, pa.string()))
+    for _ in range(2):
+        ids, before = enc.block(raw, offsets, [2])
+        assert [ids[before[k] : before[k + 1]].tolist() for k in range(0, len(texts), 100)] == [enc.whole.encode(t, add_special_tokens=False).ids + [2] for t in texts[::100]]
+    for held in (enc.chunks, enc.parts):
+        assert held and sum(map(sys.getsizeof, [*held, *held.values()])) < most
+
+
+def _resident():
+    return int(Path("/proc/self/statm").read_text().split()[1]) * resource.getpagesize()
+
+
+def test_tasks_hand_back_freed_memory():
+    """Small pieces below one that stays: only trimming hands them back."""
+    kept = []
+
+    def run(batches):
+        for b in batches:
+            held = [np.ones(2000) for _ in range(10_000)]
+            kept.append(np.ones(2000))
+            del held
+            yield b
+
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["n"])
+    before = _resident()
+    assert list(run(iter([b]))) == [b] and _resident() - before > 100 << 20
+    assert list(lean(run)(iter([b, b]))) == [b, b] and _resident() - before < 32 << 20
+    assert len(kept) == 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=70))
 def test_code_round_trip(ranks):
