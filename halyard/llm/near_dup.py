@@ -150,7 +150,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     # a pivot may be in very many pairs: those go to as many copies of its set as needed
     per = pairs.groupBy("y").agg(F.ceil(F.count("*") / CROWD).alias("copies"))
-    hot = materialize(per.filter("copies > 1"), "nd-hot")
+    hot = materialize(per.filter("copies > 1"), "nd-hot", few=True)
     x = sets.select(F.col("doc_id").alias("x"), F.col("set").alias("set_x"))
     salted = pairs.join(hot, "y", "left").withColumn("salt", F.pmod(F.xxhash64("x"), F.coalesce("copies", F.lit(1))))
     y = sets.join(per.withColumnRenamed("y", "doc_id").hint("merge"), "doc_id")
@@ -170,7 +170,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "nd-components")
+        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "nd-components", few=True)
         if last is not None:
             discard(last)
         last = e
@@ -260,7 +260,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         m = tables.join(comps, tables["rep"] == comps["node"], "left").select("t", "rep", "n", "parity", "keys", "was", F.coalesce("component", "rep").alias("comp"))
         fresh = F.when(~F.col("was"), F.col("rep"))
         state = m.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(fresh).alias("left"), F.min(fresh).alias("first"))
-        state = materialize(state.filter("low < high AND left > 1").select("t", "left", "first"), "nd-open")
+        state = materialize(state.filter("low < high AND left > 1").select("t", "left", "first"), "nd-open", few=True)
         if state.isEmpty():
             discard(state, sets, carried, *past)
             return comps
@@ -288,7 +288,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         pairs = m.join(y, "t").filter((F.col("comp") != F.col("cy")) & alike & near & _banded("keys", "ky"))
         pairs = pairs.select(F.greatest("rep", "y").alias("x"), F.least("rep", "y").alias("y")).distinct()
         pairs = materialize(pairs.join(tested, ["x", "y"], "left_anti"), "nd-pairs")
-        found = materialize(_linked(pairs, sets, percent), "nd-links")
+        found = materialize(_linked(pairs, sets, percent), "nd-links", few=True)
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
             joined = components(comps.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(found))

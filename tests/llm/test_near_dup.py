@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from halyard.llm import common
 from halyard.llm import near_dup as nd
 
 
@@ -113,3 +114,17 @@ def test_parities_bound_the_difference():
 @pytest.mark.parametrize("s", [0.85, 0.92])
 def test_share_of_pairs_found(s):
     assert (1 - (1 - s**nd.WIDTH) ** nd.SIDE) ** 2 > 0.9999
+
+
+def test_loop_tables_are_written_in_few_files(spark):
+    most = max(common.FEW_FILES, 3 * spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(3 * most))
+    try:
+        edges = spark.range(5000).selectExpr("id * 2 AS x", "id * 2 + 1 AS y")
+        found = nd.components(edges)
+        assert len(found.inputFiles()) <= most
+        assert found.count() == 5000 == found.filter("component = node - 1 AND component % 2 = 0").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
