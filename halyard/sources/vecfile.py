@@ -77,8 +77,7 @@ def write(df: DataFrame, path: str, dimension: int, file_bytes: int = FILE_BYTES
     staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
     system, at = fs._at(staged)
     system.mkdirs(at)
-    uri = system.makeQualified(at).toString()
-    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri
+    uri = fs.qualified(staged)
 
     def run(batches):
         from pyarrow import fs as pafs

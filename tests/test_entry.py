@@ -7,8 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from halyard.model import EngineConfig, Metric
 from halyard.plans import engine_queries as engine
 from halyard.plans import queries as vector
+from halyard.plans.collection import Engine
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
@@ -30,6 +32,17 @@ def test_queries_against_sql(spark, name):
     assert sorted(map(tuple, out.select(columns).collect()), key=str) == sorted(cur.fetchall(), key=str)
 
 
+@pytest.mark.parametrize("name", ["settings", "get_by_id", "service_drain", "vector_files"])
+def test_engine_on_a_cluster_with_a_mounted_folder(spark, name, tmp_path, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    conf = spark.sparkContext.getConf().set("spark.checkpoint.dir", str(tmp_path))  # no scheme
+    monkeypatch.setattr(spark.sparkContext, "_conf", conf)
+    assert vector._work_dir(spark) == f"file://{tmp_path}"
+    test_queries_against_sql(spark, name)
+    with pytest.raises(RuntimeError, match="executors share"):  # a folder of no such contract
+        Engine(spark, EngineConfig(data_dir=str(tmp_path))).create("c", 2, Metric.COSINE)
+
+
 def test_works_without_the_training_data_part(tmp_path):
     shutil.copytree(ROOT / "halyard", tmp_path / "halyard", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
