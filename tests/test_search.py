@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,43 @@ def test_knn_join_far_from_the_origin_and_with_ties(spark):
     assert len(row) == 500 and (np.sort(col.reshape(50, 10), axis=1) == np.arange(3990, 4000)).all()
 
 
+def test_knn_join_holds_bounded_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    x[1500:] = x[:1500]  # every vector twice: ties by id
+    one, real, seen = in_memory(spark, [([0.0] * 8, {}, None)]), flat.best_of_block, []
+    ids = np.arange(3000)
+    batches = [pa.record_batch([pa.array(ids[at : at + 1000]), pa.array(x[at : at + 1000].tolist(), pa.list_(pa.float32()))], ["id", "vector"]) for at in (0, 1000, 2000)]
+
+    def spy(x, ids, q, *a):
+        seen.append(len(x) * len(q))
+        return real(x, ids, q, *a)
+
+    monkeypatch.setattr(flat, "best_of_block", spy)
+    monkeypatch.setattr(flat, "BLOCK_ROWS", 300)
+    for metric in Metric:
+        run = flat._scorer(one, ids, x, 10, metric, 4 * 300 * 400, "float64")
+        out = pa.Table.from_batches(run(iter(batches))).to_pydict()
+        assert len(out["qid"]) == 30_000 and max(seen) <= 300 * 400  # 10 a query and task, not a batch
+        got = np.full((3000, 10), -1)
+        for i in range(3000):
+            got[i] = out["id"][10 * i : 10 * i + 10]
+        assert out["qid"] == np.repeat(ids, 10).tolist()
+        for i in range(0, 3000, 100):
+            exact = flat.sequential_scores(x.T.astype(float), x[i].astype(float), metric)
+            assert got[i].tolist() == np.lexsort((ids, -exact))[:10].tolist()
+
+
+def test_knn_join_in_double_precision(spark):
+    x = [[1.0, 0.0], [1.0, 3e-5], [1.0, 1e-5], [1.0, 2e-5]]  # cosines that single precision takes for 1
+    df = in_memory(spark, [(v, {}, None) for v in x])
+    queries = spark.createDataFrame([(0, x[0])], "qid long, vector array<float>")
+    ranked = lambda **k: [r["id"] for r in flat.knn_join(queries, df, 4, Metric.COSINE, **k).orderBy("rank").collect()]
+    assert ranked() == [0, 1, 2, 3] and ranked(precision="float64") == [0, 2, 3, 1]
+    with pytest.raises(ValueError, match="lengths"):
+        flat.knn_join(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0])], "qid long, vector array<float>"), df, 1, Metric.COSINE)
+
+
 def test_parsers_and_ids(spark):
     assert Metric.parse("Cosine") is Metric.COSINE and Metric.parse("DotProduct") is Metric.DOT_PRODUCT and Metric.parse("l1") is None
     assert IndexType.parse("HNSW") is IndexType.HNSW
