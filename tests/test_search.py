@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from halyard.functions import metrics as M
 from halyard.functions.ids import is_ulid, new_ulid, parse_ulid, sha256_column, sha256_hex
 from halyard.functions.metadata import Filter, canon, from_json
-from halyard.model import BadRequest, HnswParams, IndexType, Metric, ValidationError
+from halyard.model import BadRequest, EngineConfig, HnswParams, IndexType, Metric, ValidationError
 from halyard.operators import flat, hnsw
+from halyard.plans import engine_queries as eq
 from halyard.plans.collection import candidates, in_memory, search_plan
 
 
@@ -163,6 +164,42 @@ def test_graph_form(spark):
     assert packed(hnsw.import_links(df, graph, 2)) == packed(shards)
 
 
+@pytest.mark.parametrize("metric", Metric)
+def test_graph_search_of_many_queries_equals_single_ones(metric):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 8)).astype(np.float32)
+    x[600:] = x[:100]  # copies: distances that are equal
+    g = hnsw.Graph(x, metric, HnswParams(m=4, ef_construction=20)).build([i % 7 == 0 for i in range(700)])
+    q = np.concatenate([x[:60], rng.normal(size=(60, 8)).astype(np.float32), np.zeros((1, 8), np.float32)])
+    for k, ef in ((5, 10), (10, 40), (10, 5000)):
+        who, d, node = g.search_many(q, k, ef)
+        for i in range(len(q)):
+            want = g.search(q[i], k, ef)
+            assert sorted(node[who == i]) == sorted(n for _, n in want)
+            np.testing.assert_allclose(sorted(d[who == i]), [dn for dn, _ in want], atol=1e-5)
+    none = hnsw.Graph(np.empty((0, 8), np.float32), metric, HnswParams()).build([])
+    assert all(len(c) == 0 for c in [*none.search_many(q, 5, 10), *g.search_many(q, 0, 10)])
+
+
+def test_graph_build_has_a_task_for_each_shard(spark):
+    df = in_memory(spark, [([i, 1], {}, None) for i in range(40)])
+    tasks = hnsw.build(df, Metric.COSINE, shards=7).withColumn("task", F.spark_partition_id()).select("shard", "rows", "task").collect()
+    assert len({r["task"] for r in tasks}) == len(tasks) == 7 and sum(r["rows"] for r in tasks) == 40
+    batch = pa.record_batch([pa.array([0, 0, 1, 2]), pa.array([1, 2, 3, 4])], ["shard", "id"])
+    more = pa.record_batch([pa.array([2, 4]), pa.array([5, 6])], ["shard", "id"])
+    assert [(s, t["id"].to_pylist()) for s, t in hnsw._by_shard([batch, batch.slice(0, 0), more])] == [(0, [1, 2]), (1, [3]), (2, [4, 5]), (4, [6])]
+
+
+def test_query_graphs_grow_with_the_table(spark, tmp_path, monkeypatch):
+    made, real = [], hnsw.build
+    monkeypatch.setattr(hnsw, "build", lambda *a, **k: made.append(k["shards"]) or real(*a, **k))
+    monkeypatch.setattr(eq, "EngineConfig", lambda: EngineConfig(rows_per_shard=50))
+    for name in ("hnsw_degrees", "hnsw_exhaustive", "hnsw_links", "hnsw_recall"):
+        eq.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert made == [max(n, hnsw.shard_count(rows, 50)) for n in (1, 3, 3, 1)]
+
+
 def test_graph_search_plan_moves_results_only(spark, tmp_path):
     df = in_memory(spark, [([i, 1], {}, None) for i in range(50)])
     hnsw.build(df, Metric.COSINE, shards=4).write.parquet(str(tmp_path / "g"))
