@@ -1,3 +1,4 @@
+import json
 import shutil
 import subprocess
 import sys
@@ -11,6 +12,7 @@ from halyard.model import EngineConfig, Metric
 from halyard.plans import engine_queries as engine
 from halyard.plans import queries as vector
 from halyard.plans.collection import Engine
+from halyard.sources.store import CollectionStore
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
@@ -43,6 +45,18 @@ def test_engine_on_a_cluster_with_a_mounted_folder(spark, name, tmp_path, monkey
         Engine(spark, EngineConfig(data_dir=str(tmp_path))).create("c", 2, Metric.COSINE)
 
 
+@pytest.mark.parametrize("name", ["ordinal_ids", "external_ids", "compact_then_reload", "append_during_compaction"])
+def test_rows_are_inserted_by_several_tasks(spark, name, monkeypatch):
+    files, real = [], CollectionStore._entry
+    monkeypatch.setattr(CollectionStore, "_counts", lambda self, id_, number, data: files.append(json.loads(self.fs.read(real(self, self.manifest(id_), number)))["files"]) or True)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        test_queries_against_sql(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(len(f) > 1 for f in files) and files
+
+
 def test_works_without_the_training_data_part(tmp_path):
     shutil.copytree(ROOT / "halyard", tmp_path / "halyard", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
